@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import bpe, tokencount
+from siftstone.llm import bpe, simhash, tokencount
 from siftstone.llm.common import read
 
 
@@ -17,8 +17,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_byte_bpe, op7_token_counts)}
+    return {f.__name__: f for f in (op3_byte_bpe, op7_token_counts, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
