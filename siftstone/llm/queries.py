@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import bpe, simhash, tokencount
+from siftstone.llm import bpe, huffman, simhash, tokencount
 from siftstone.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.write_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -22,7 +26,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_byte_bpe, op7_token_counts, op9_simhash)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_huffman_ids, op7_token_counts, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
