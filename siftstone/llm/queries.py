@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import bpe, huffman, simhash, tokencount
+from siftstone.llm import bpe, huffman, licenses, media, mixing, simhash, tokencount
 from siftstone.llm.common import read
 
 
@@ -17,17 +17,29 @@ def op4_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.write_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_huffman_ids, op7_token_counts, op9_simhash)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_huffman_ids, op5_mixing, op7_token_counts, op8_mpeg_audio, op9_simhash, op10_license_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.SQL}
