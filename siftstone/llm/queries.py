@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import bpe, huffman, licenses, media, mixing, simhash, tokencount
+from siftstone.llm import ann, bpe, huffman, licenses, media, mixing, simhash, tokencount
 from siftstone.llm.common import read
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -38,7 +42,7 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_huffman_ids, op5_mixing, op7_token_counts, op8_mpeg_audio, op9_simhash, op10_license_rules)}
+    return {f.__name__: f for f in (op2_cross_polytope, op3_byte_bpe, op4_huffman_ids, op5_mixing, op7_token_counts, op8_mpeg_audio, op9_simhash, op10_license_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
