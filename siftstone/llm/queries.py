@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import ann, bpe, huffman, licenses, media, mixing, simhash, tokencount
+from siftstone.llm import ann, bpe, huffman, licenses, media, mixing, quality, simhash, tokencount, toxicity
 from siftstone.llm.common import read
 
 
+def op1_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
@@ -25,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,7 +50,7 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_cross_polytope, op3_byte_bpe, op4_huffman_ids, op5_mixing, op7_token_counts, op8_mpeg_audio, op9_simhash, op10_license_rules)}
+    return {f.__name__: f for f in (op1_attention_mil, op2_cross_polytope, op3_byte_bpe, op4_huffman_ids, op5_mixing, op6_weak_supervision, op7_token_counts, op8_mpeg_audio, op9_simhash, op10_license_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
