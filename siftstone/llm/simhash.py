@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import golay
@@ -114,3 +114,184 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     label = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     names = linked.join(label, "component").select("fp", "component_id").union(joined.filter("component is null").select("fp", F.col("least").alias("component_id")))
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies at a similarity of shingle sets, beyond two bits.
+
+#: 5-word shingles, a Jaccard similarity of 0.8 or more.
+SHINGLE, SIMILARITY = 5, 0.8
+SEGMENTS = 4
+#: Texts of a bucket that one task compares at once.
+BUCKET_BLOCK = 4096
+#: Rows that are broadcast at most; longer lists are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+_MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIXERS[k]
+    return h ^ (h >> np.uint64(32))
+
+
+def sketch(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(4 x 23 SimHash bits as numbers, 4 anchors) of a text's distinct words.
+
+    An anchor is the word of least mixed hash; near copies have the same one but
+    for the share of words in which they differ.
+    """
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
+    if not len(h):
+        return np.zeros(SEGMENTS, np.int64), np.zeros(SEGMENTS, np.uint64)
+    both = np.stack([_mixed(h, 0), _mixed(h, 1)], axis=1).astype("<u8")
+    ones = np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1, bitorder="little")[:, : SEGMENTS * golay.BITS].sum(0, dtype=np.int64)
+    bits = (2 * ones > len(h)).reshape(SEGMENTS, golay.BITS)
+    return bits @ (1 << np.arange(golay.BITS)), np.array([_mixed(h, k).min() for k in range(SEGMENTS)])
+
+
+def text_id(text: str) -> Column:
+    """A 128-bit hash of each whole text, as hexadecimal digits; null counts as empty."""
+
+    @F.arrow_udf("string")
+    def digest(column: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in column.cast(pa.binary()).to_pylist()], pa.string())
+
+    return digest(F.col(text).cast("string"))
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            done = [sketch(words_of(t)) for t in texts]
+            seg = np.array([s for s, _ in done], np.int64).reshape(-1, SEGMENTS)
+            anchor = np.array([a for _, a in done], np.uint64).reshape(-1, SEGMENTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string()), pa.array(list(seg), pa.list_(pa.int64())), pa.array(list(anchor), pa.list_(pa.int64()))], ["doc_id", "node", "segments", "anchors"])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, node string, segments array<long>, anchors array<long>")
+
+
+def _keyed(batches):
+    """Keys of each text: for each segment, its anchor with each Golay key."""
+    for batch in batches:
+        seg = batch.column("segments").values.to_numpy().reshape(-1, SEGMENTS)
+        anchor = batch.column("anchors").values.to_numpy().reshape(-1, SEGMENTS).view(np.uint64)
+        at, key = [], []
+        for k in range(SEGMENTS):
+            rows, codes = golay.keys(seg[:, k])
+            at.append(rows)
+            key.append(_mixed(anchor[rows, k] ^ _mixed((codes + 4096 * k).astype(np.uint64), 2), 3))
+        at = np.concatenate(at)
+        take = pa.array(at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), batch.column("node").take(take), batch.column("segments").take(take)], ["key", "node", "segments"])
+
+
+def _nearest_in_bucket(table: pa.Table) -> pa.Table:
+    """Edges of a bucket: its minimum spanning tree by differing bits, and each text's three nearest."""
+    nodes = np.array(table.column("node").to_pylist(), object)
+    nodes, first = np.unique(nodes, return_index=True)
+    seg = np.array(table.column("segments").to_pylist(), np.int64)[first]
+    n = len(nodes)
+    edges = set()
+    if n > 1:
+        apart = np.full(n, 127, np.int64)
+        link = np.zeros(n, np.int64)
+        out = np.ones(n, bool)
+        now = 0
+        for _ in range(n):
+            out[now] = False
+            d = np.bitwise_count(seg ^ seg[now]).sum(1).astype(np.int64)
+            near = d < apart
+            apart[near], link[near] = d[near], now
+            d[now] = 127
+            for other in np.argpartition(d, min(3, n - 1))[:3]:
+                if other != now:
+                    edges.add((min(now, int(other)), max(now, int(other))))
+            if not out.any():
+                break
+            rest = np.where(out, apart, 999)
+            now = int(np.argmin(rest))
+            edges.add((min(now, int(link[now])), max(now, int(link[now]))))
+    return pa.table({"u": pa.array([nodes[a] for a, _ in edges], pa.string()), "v": pa.array([nodes[b] for _, b in edges], pa.string())})
+
+
+def _similar(batches):
+    for batch in batches:
+        u, v = batch.column("su").to_pylist(), batch.column("sv").to_pylist()
+        keep = []
+        for a, b in zip(u, v, strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9)
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _limited(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if it is a checked, small number of rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, components): rows (doc_id, node) of all documents, and (node, least, component).
+
+    Near copies at 5-word shingles and a similarity of 0.8 differ in some 4 of 64 bits on
+    words, in 9 on shingles: too many for the exact search at two bits. So candidates
+    come from four segments of a SimHash of the distinct words. Each is taken with an anchor,
+    the word of least hash, as its key is short; a text has all Golay keys of a segment,
+    21 in all. Texts that meet under a key are linked along the minimum spanning tree
+    of their differing bits and to their three nearest, never all with all; each link is verified
+    by the exact similarity of the whole texts' shingle sets. At a similarity of 0.8 a pair shares a
+    key with a probability over 0.99. A bucket of more than BUCKET_BLOCK texts is
+    compared in pairs of blocks, whose trees together hold its tree.
+    """
+    rows = checkpointed(_sketches(docs))
+    texts = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("segments").alias("segments"), F.min("anchors").alias("anchors")))
+    keyed = texts.select("node", "segments", "anchors").mapInArrow(_keyed, "key long, node string, segments array<long>")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1")
+    pairs = met.filter("n = 2").select("u", "v")
+    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    crowd = keyed.join(met.filter("n > 2").select("key", blocks.alias("blocks")), "key")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    crowd = crowd.select("key", "node", "segments", own.alias("own"), other.alias("other")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    trees = crowd.select("key", "i", "j", "node", "segments").groupBy("key", "i", "j").applyInArrow(_nearest_in_bucket, "u string, v string")
+    edges = checkpointed(pairs.filter("u <> v").union(trees).distinct())
+
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    least = F.lit(-(2**63))
+    needed = checkpointed(texts.join(ends, "node", "left_semi").select("node", F.coalesce("least", least).alias("id")))
+
+    def shingles(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words_of(t or b""), SHINGLE)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    chosen = id_and_text(docs).select(F.coalesce("doc_id", least).alias("id"), "text").join(_limited(needed.select("id").distinct()), "id", "left_semi")
+    sets = checkpointed(chosen.select("id", "text", text_id("text").alias("node")).join(_limited(needed), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(shingles, "node string, shingles binary"))
+    both = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    links = both.mapInArrow(_similar, "u string, v string")
+    roots = checkpointed(connected_components(links))
+    return rows.select("doc_id", "node"), texts.select("node", "least").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """`docs`, with its own columns, one document left of each group of exact and near copies.
+
+    The one with the least doc_id stays (null ids count as least); of equal rows with that id, one.
+    """
+    rows, components = near_components(docs)
+    least = F.lit(-(2**63))
+    ided = rows.select(F.coalesce("doc_id", least).alias("id"), "node")
+    rows_of = ided.groupBy("id", "node").count()
+    grouped = checkpointed(rows_of.join(components.select("node", "component"), "node"))
+    first = grouped.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"))
+    # what goes, and what stays but stands there several times; all other rows are single
+    marked = grouped.join(first, "component").withColumn("goes", (F.col("first.id") != F.col("id")) | (F.col("first.node") != F.col("node")))
+    marks = checkpointed(marked.filter("goes or count > 1").select(F.col("id").alias("_ss_id"), F.col("node").alias("_ss_node"), F.col("goes").alias("_ss_goes")))
+    keyed = docs.withColumn("_ss_id_of", F.coalesce(F.col("doc_id").cast("long"), least)).withColumn("_ss_text", text_id("text"))
+    joined = keyed.join(_limited(marks), (F.col("_ss_id_of") == F.col("_ss_id")) & (F.col("_ss_text") == F.col("_ss_node")), "left")
+    own = docs.columns
+    single = joined.filter("_ss_goes is null").select(*own)
+    repeated = marks.filter("not _ss_goes")
+    if repeated.isEmpty():
+        return single
+    return single.union(joined.filter("not _ss_goes").dropDuplicates(["_ss_id_of", "_ss_text"]).select(*own))
