@@ -24,8 +24,10 @@ gives no rows. Extra columns are left out.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +45,28 @@ BLOCK = 262_144
 KEPT = 400_000
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, the others follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     """The tokenizers library, with the ids of chunks that are free of white space kept.
 
     The tokenizer splits at white space and drops it, so a text's ids are those of
-    its chunks. New chunks go through the library together, parted by an added
-    token, at which the library splits a text before anything else.
+    its chunks. A new chunk of letters of western Europe, digits and ASCII marks is
+    split here into the words that the tokenizer's pattern gives, and each word not
+    met before goes to the library's BPE model. Any other chunk (apostrophes, other
+    scripts, combining marks, added tokens) goes through the library as a whole; such
+    chunks go together, parted by an added token, at which it splits before anything else.
     """
 
     _made: dict = {}
+    #: Letters whose lower case is one letter and whose composed form is their own. Fixed values.
+    LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+    UPPER = "A-Z\xc0-\xd6\xd8-\xde"
 
     @classmethod
     def shared(cls, path: str) -> ChunkEncoder:
@@ -64,22 +79,42 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         added = sorted(self.tokenizer.get_added_tokens_decoder().items())
         self.part = added[-1][1].content
         self.part_id = added[-1][0]
         self.special = [a.content.encode() for _, a in added]
+        self.plain = re.compile(f"[!-&(-~{self.LETTERS}{self.UPPER}]+").fullmatch
+        self.split = re.compile(f"[{self.LETTERS}]+|[0-9]|[^{self.LETTERS}0-9]+").findall
+        self.bytes = byte_characters()
+        self.model = self.tokenizer.model
         self.seen: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            shown = "".join(map(self.bytes.__getitem__, word.encode()))
+        else:
+            shown = word
+        ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self.words) >= KEPT:
+            self.words.clear()
+        self.words[word] = ids
+        return ids
 
     def _learn(self, chunks: set[bytes]) -> None:
-        plain, other = [], []
+        whole, other, words = [], [], self.words
         for c in chunks:
-            (other if b"<|" in c and any(s in c for s in self.special) else plain).append(c)
-        for k in range(0, len(plain), 20_000):
-            some = plain[k : k + 20_000]
+            text = c.decode()
+            if self.plain(text) and not (b"<|" in c and any(s in c for s in self.special)):
+                self.seen[c] = b"".join([words.get(w) or self._word(w) for w in self.split(text.lower())])
+            elif any(s in c for s in self.special):
+                other.append(c)
+            else:
+                whole.append(c)
+        for k in range(0, len(whole), 20_000):
+            some = whole[k : k + 20_000]
             ids = np.array(self.tokenizer.encode(self.part.join([c.decode() for c in some]), add_special_tokens=False).ids, "<u2")
-            ends = np.flatnonzero(ids == self.part_id)
-            parts = np.split(ids, ends)
+            parts = np.split(ids, np.flatnonzero(ids == self.part_id))
             self.seen.update(zip(some, [parts[0].tobytes(), *(a[1:].tobytes() for a in parts[1:])], strict=True))
         for c in other:
             self.seen[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u2").tobytes()
