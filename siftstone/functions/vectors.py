@@ -55,7 +55,10 @@ def sign_bits(v: Column) -> Column:
 
 def concat_weighted(*parts: tuple[Column, float]) -> Column:
     """Parts times their weights, one behind another, as a unit vector."""
-    return normalise(F.concat(*[F.transform(v, lambda x, w=w: x * F.lit(w)) for v, w in parts]))
+    def times(v: Column, w: float) -> Column:
+        return F.transform(v, lambda x: x * F.lit(w))
+
+    return normalise(F.concat(*[times(v, w) for v, w in parts]))
 
 
 def iou(a: Column, b: Column) -> Column:
