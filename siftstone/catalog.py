@@ -21,8 +21,12 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
+    from siftstone import plans  # noqa: F401  the modules register their queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from siftstone import plans  # noqa: F401
+
     return dict(_SQL)
