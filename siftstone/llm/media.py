@@ -148,13 +148,19 @@ def _frame_at(data: bytes, at: int, end: int) -> int:
     return n if at + n <= end else 0
 
 
+def _table_at(data: bytes, at: int) -> int:
+    """Where the variable-bitrate table of the frame at `at` begins behind its mark, or 0."""
+    here = at + (4 if data[at + 1] & 1 else 6) + 9
+    return here + 4 if data[here : here + 4] in (b"Xing", b"Info") else 0
+
+
 def read_mpeg(data: bytes) -> Stream:
     tags, at, end = _tags(data)
     offsets, lengths, skipped, synced = [], [], 0, False
     while at < end:
         n = _frame_at(data, at, end)
-        # a header out of step must be followed by another of the same sampling rate
-        if n and (synced or at + n == end or (_frame_at(data, at + n, end) and (data[at + 2] ^ data[at + n + 2]) & 12 == 0)):
+        # a header out of step must hold the table, or be followed by another of the same sampling rate
+        if n and (synced or at + n == end or _table_at(data, at) or (_frame_at(data, at + n, end) and (data[at + 2] ^ data[at + n + 2]) & 12 == 0)):
             offsets.append(at), lengths.append(n)
             at, synced = at + n, True
             continue
@@ -165,11 +171,10 @@ def read_mpeg(data: bytes) -> Stream:
     offsets, lengths = np.array(offsets, np.int64), np.array(lengths, np.int64)
     table = {}
     if len(offsets):
-        begin = int(offsets[0])
-        here = begin + (4 if data[begin + 1] & 1 else 6) + 9
-        if data[here : here + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(data[here + 4 : here + 8], "big")
-            here += 8
+        here = _table_at(data, int(offsets[0]))
+        if here:
+            flags = int.from_bytes(data[here : here + 4], "big")
+            here += 4
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
                     table[name] = int.from_bytes(data[here : here + 4], "big")
