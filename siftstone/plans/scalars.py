@@ -234,3 +234,23 @@ def label_sources_union(spark, d):
     lab = table(spark, d, "labels").select("doc_id").distinct()
     done = lab.filter("doc_id % 2 = 0").withColumn("origin", F.lit("a_cache"))
     return done.unionByName(lab.filter("doc_id % 3 = 0").join(done.select("doc_id"), "doc_id", "left_anti").withColumn("origin", F.lit("b_state")))
+
+
+@query("WITH " + _LINES + " SELECT l_orderkey, l_linenumber, round(l_extendedprice / 7, 3) AS price, round(l_tax / 3, 3) AS tax FROM l")
+def report_numbers(spark, d):
+    """Figures of a report, rounded but still numbers."""
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 7, 3).alias("price"), F.round(F.col("l_tax") / 3, 3).alias("tax"))
+
+
+@query("SELECT event_id AS id, event_id % 7 <> 0 AS ok, CASE WHEN event_id % 7 <> 0 THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS value, CASE WHEN event_id % 7 = 0 THEN 'JSONDecodeError' END AS error FROM events WHERE event_id % 10 < 3")
+def batch_inference(spark, d):
+    """A model per task on whole batches; rows of a failed batch are tried alone."""
+    from siftstone.operators.inference import infer
+
+    def load():
+        import json
+
+        return lambda texts: [float(json.loads(t)["k"]) for t in texts]
+
+    raw = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.col("props"))
+    return infer(table(spark, d, "events").filter("event_id % 10 < 3").select("event_id", raw.alias("raw")), "event_id", "raw", load)

@@ -276,3 +276,12 @@ def histogram_vector(spark, d):
     """V8: a histogram of a vector's components."""
     bins = F.least(F.lit(7), F.greatest(F.lit(0), F.floor((F.col("x") + 0.4) / 0.1))).cast("int")
     return _rows(spark, d).select("id", F.explode("v").alias("x")).groupBy("id", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + _V + ", " + _CENT.format(g="label", w="1.0", f="e", where="true") + " SELECT a.g AS a, b.g AS b, round(" + _DOT.format(a="a.c", b="b.c") + ", 6) AS similarity FROM c a JOIN c b ON a.g <= b.g")
+def similarity_matrix(spark, d):
+    """V2: the similarities of all centroids, a small dimension."""
+    cent = _cent(_rows(spark, d))
+    a = cent.select(F.col("label").alias("a"), F.col("centroid").alias("va"))
+    b = cent.select(F.col("label").alias("b"), F.col("centroid").alias("vb"))
+    return a.join(F.broadcast(b), F.col("a") <= F.col("b")).select("a", "b", F.round(vec.dot(F.col("va"), F.col("vb")), 6).alias("similarity"))

@@ -34,3 +34,20 @@ def commit(plan: DataFrame, path: str, apply: bool = False) -> DataFrame:
     if apply:
         plan.write.mode("overwrite").parquet(path)
     return plan
+
+
+def replace_table(df: DataFrame, path: str, run_id: str) -> str:
+    """Overwrite a table so that readers see the old or the new one, and keep the old as a backup.
+
+    The new rows go to a folder of their own first; renames follow only when they are complete.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    new, backup = f"{path}.tmp.{run_id}", f"{path}.bak.{run_id}"
+    df.write.mode("overwrite").parquet(new)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        fs.rename(at, jvm.org.apache.hadoop.fs.Path(backup))
+    fs.rename(jvm.org.apache.hadoop.fs.Path(new), at)
+    return backup

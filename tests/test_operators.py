@@ -10,7 +10,8 @@ from siftstone.functions import text as tx
 from siftstone.functions import vectors as vec
 from siftstone.operators import cluster, dedup, match, ranking, rules, snapshot
 from siftstone.operators.graph import connected_components
-from siftstone.sources import tables
+from siftstone.plans import runner
+from siftstone.sources import sinks, tables
 
 
 def components(edges):
@@ -156,3 +157,40 @@ def test_tolerant_readers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,n\n1,5\n2,\n")
     assert [r.n for r in tables.csv_rows(spark, str(tmp_path / "b.csv"), ["id", "n"]).orderBy("id").collect()] == ["5", None]
     assert tables.file_listing(spark, str(tmp_path), "*.csv").count() == 1
+
+
+def test_steps_resume_after_a_failure(spark, tmp_path):
+    calls, fail = [], [True]
+
+    def second(_):
+        if fail[0]:
+            raise ValueError("once")
+        calls.append("b")
+
+    steps = [("a", lambda s: calls.append("a"), None), ("b", second, None), ("c", lambda s: calls.append("c"), lambda s: False)]
+    r = runner.StepRunner(spark, str(tmp_path / "state"))
+    with pytest.raises(ValueError):
+        r.run(steps)
+    fail[0] = False
+    assert r.run(steps) == {"a": "done before", "b": "ran", "c": "skipped"} and calls == ["a", "b"]
+    assert r.done() == {}
+
+
+def test_manifest_blocks_what_lost_entries(spark, tmp_path):
+    rows = [("a", 1, 5, "t"), ("b", 1, 6, "t")]
+    kind = "path string, entity long, size long, mtime string"
+    full, less = spark.createDataFrame(rows, kind), spark.createDataFrame(rows[:1], kind)
+    m = runner.Manifest(spark, str(tmp_path / "m"))
+    assert m.init(full) == 0 and m.promote(full) == 1 and m.versions() == [0, 1]
+    with pytest.raises(ValueError):
+        m.promote(less)
+    assert [tuple(r) for r in m.restore_plan(less).collect()] == [("b", "planned")] and m.status().first()["bytes"] == 11
+
+
+def test_preflight_and_replace(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3).toDF("x"), path, "1")
+    backup = sinks.replace_table(spark.range(5).toDF("x"), path, "2")
+    assert spark.read.parquet(path).count() == 5 and spark.read.parquet(backup).count() == 3
+    assert [c for _, c, _ in runner.preflight(spark, [path, path + "none"], 0, 2000)] == ["unreadable_input", "little_memory"]
+    assert runner.partitions_for(1000, 2600) == 11
