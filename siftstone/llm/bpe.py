@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftstone.llm.common import id_and_text, pieces
+from siftstone.llm.common import give_back, id_and_text, pieces
 from siftstone.llm.pairs import PairTable
 
 #: Unicode's White_Space characters, as the pattern's \s has them. Fixed values.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Encoded runs kept by a worker; beyond it the memory of runs starts anew.
-KEPT = 400_000
+#: Encoded runs that a worker keeps, twice: those met lately, and those met in the time before.
+KEPT = 60_000
 _NONE = np.int64(1) << np.int64(62)
 
 
@@ -68,6 +68,7 @@ class SegmentTreeBPE:
                     left.append(a), right.append(b), merged.append(i)
         self.pairs = PairTable(left, right, merged, int(_NONE))
         self.seen: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word (1 byte at least), merged by rank."""
@@ -150,8 +151,6 @@ class SegmentTreeBPE:
         done = [np.array([x], np.int64) if x is not None else None for x in done]
         for i, ids in zip(todo, self.merge([whole[i] for i in todo]), strict=True):
             done[i] = ids
-        if len(self.seen) + len(runs) > KEPT:
-            self.seen.clear()
         for run, parts in zip(runs, split, strict=True):
             ids = done[parts[0]] if len(parts) == 1 else np.concatenate([done[p] for p in parts])
             self.seen[run] = (",".join(map(str, ids.tolist())).encode(), ids.astype("<u4").tobytes())
@@ -159,12 +158,12 @@ class SegmentTreeBPE:
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
         """For each text its ids, as decimal text joined by commas and as an array."""
         split = [self.runs.findall(t) for t in texts]
-        new = set().union(*split).difference(self.seen) if split else set()
-        if new:
-            if len(self.seen) + len(new) > KEPT:
-                new = set().union(*split)
-                self.seen.clear()
-            self._learn(new)
+        if len(self.seen) > KEPT:
+            self.before, self.seen = self.seen, {}
+        new = set().union(*split).difference(self.seen)
+        for run in new & self.before.keys():
+            self.seen[run] = self.before[run]
+        self._learn(new.difference(self.seen))
         out = []
         for runs in split:
             got = list(map(self.seen.__getitem__, runs))
@@ -181,7 +180,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: what encoding its text and decoding the ids gives.
 
-    No shuffle; a worker holds one batch of texts and at most KEPT encoded runs.
+    No shuffle; a worker holds one batch of texts and some 2 * KEPT encoded runs.
     """
 
     def run(batches):
@@ -189,7 +188,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n, ids_sha, out_sha, same = [], [], [], []
-            for a, b in pieces(texts, 2_000_000):
+            for a, b in pieces(texts, 1_000_000):
                 for text, (decimal, ids) in zip(texts[a:b], bpe.encode_batch(texts[a:b]), strict=True):
                     back = bpe.decode(ids)
                     n.append(len(ids))
@@ -197,6 +196,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     out_sha.append(hashlib.sha256(back).hexdigest())
                     same.append(back == text.encode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, SCHEMA)
 
@@ -208,7 +208,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = SegmentTreeBPE.shared(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [i.astype(np.int32) for a, b in pieces(texts, 2_000_000) for _, i in bpe.encode_batch(texts[a:b])]
+            ids = [i.astype(np.int32) for a, b in pieces(texts, 1_000_000) for _, i in bpe.encode_batch(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so a batch holds few of them.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,15 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def pieces(texts: list, size: int):
     """Slices of a list of bytes, each of about `size` bytes (one text at least)."""
     start, total = 0, 0
