@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import golay
-from siftstone.llm.common import checkpointed, id_and_text
+from siftstone.llm.common import checkpointed, give_back, id_and_text
 from siftstone.operators.graph import connected_components
 
 SEED = 42
@@ -120,12 +120,16 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 #: 5-word shingles, a Jaccard similarity of 0.8 or more.
 SHINGLE, SIMILARITY = 5, 0.8
-SEGMENTS = 4
+SEGMENTS = 5
+#: Candidates differ in no more of the 115 bits; at a similarity of 0.8 some 8 differ.
+FAR = 36
+#: Nearest texts of a bucket that each one is held against, beside the spanning tree.
+NEIGHBOURS = 6
 #: Texts of a bucket that one task compares at once.
 BUCKET_BLOCK = 4096
 #: Rows that are broadcast at most; longer lists are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-_MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+_MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -134,10 +138,10 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketch(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(4 x 23 SimHash bits as numbers, 4 anchors) of a text's distinct words.
+    """(5 x 23 SimHash bits of a text's distinct words as numbers, 5 anchors).
 
-    An anchor is the word of least mixed hash; near copies have the same one but
-    for the share of words in which they differ.
+    An anchor is the least mixed hash of a text's 3-word shingles; near copies have the
+    same one but for the share of shingles in which they differ.
     """
     h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
     if not len(h):
@@ -145,7 +149,8 @@ def sketch(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.stack([_mixed(h, 0), _mixed(h, 1)], axis=1).astype("<u8")
     ones = np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1, bitorder="little")[:, : SEGMENTS * golay.BITS].sum(0, dtype=np.int64)
     bits = (2 * ones > len(h)).reshape(SEGMENTS, golay.BITS)
-    return bits @ (1 << np.arange(golay.BITS)), np.array([_mixed(h, k).min() for k in range(SEGMENTS)])
+    shingles = shingle_hashes(words, 3)
+    return bits @ (1 << np.arange(golay.BITS)), np.array([_mixed(shingles, k).min() for k in range(SEGMENTS)])
 
 
 def text_id(text: str) -> Column:
@@ -166,6 +171,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             seg = np.array([s for s, _ in done], np.int64).reshape(-1, SEGMENTS)
             anchor = np.array([a for _, a in done], np.uint64).reshape(-1, SEGMENTS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string()), pa.array(list(seg), pa.list_(pa.int64())), pa.array(list(anchor), pa.list_(pa.int64()))], ["doc_id", "node", "segments", "anchors"])
+        give_back()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, node string, segments array<long>, anchors array<long>")
 
@@ -186,12 +192,12 @@ def _keyed(batches):
 
 
 def _nearest_in_bucket(table: pa.Table) -> pa.Table:
-    """Edges of a bucket: its minimum spanning tree by differing bits, and each text's three nearest."""
+    """Edges of a bucket: its minimum spanning tree by differing bits, and each text's NEIGHBOURS nearest."""
     nodes = np.array(table.column("node").to_pylist(), object)
     nodes, first = np.unique(nodes, return_index=True)
     seg = np.array(table.column("segments").to_pylist(), np.int64)[first]
     n = len(nodes)
-    edges = set()
+    edges: dict[tuple[int, int], int] = {}
     if n > 1:
         apart = np.full(n, 127, np.int64)
         link = np.zeros(n, np.int64)
@@ -203,14 +209,15 @@ def _nearest_in_bucket(table: pa.Table) -> pa.Table:
             near = d < apart
             apart[near], link[near] = d[near], now
             d[now] = 127
-            for other in np.argpartition(d, min(3, n - 1))[:3]:
+            for other in np.argpartition(d, min(NEIGHBOURS, n - 1))[:NEIGHBOURS]:
                 if other != now:
-                    edges.add((min(now, int(other)), max(now, int(other))))
+                    edges[min(now, int(other)), max(now, int(other))] = d[other]
             if not out.any():
                 break
             rest = np.where(out, apart, 999)
             now = int(np.argmin(rest))
-            edges.add((min(now, int(link[now])), max(now, int(link[now]))))
+            edges[min(now, int(link[now])), max(now, int(link[now]))] = apart[now]
+    edges = {e: d for e, d in edges.items() if d <= FAR}
     return pa.table({"u": pa.array([nodes[a] for a, _ in edges], pa.string()), "v": pa.array([nodes[b] for _, b in edges], pa.string())})
 
 
@@ -235,10 +242,10 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Near copies at 5-word shingles and a similarity of 0.8 differ in some 4 of 64 bits on
     words, in 9 on shingles: too many for the exact search at two bits. So candidates
-    come from four segments of a SimHash of the distinct words. Each is taken with an anchor,
-    the word of least hash, as its key is short; a text has all Golay keys of a segment,
-    21 in all. Texts that meet under a key are linked along the minimum spanning tree
-    of their differing bits and to their three nearest, never all with all; each link is verified
+    come from five segments of a SimHash of the distinct words. Each is taken with an anchor,
+    the 3-word shingle of least hash, as its key is short; a text has all Golay keys of a segment,
+    27 in all. Texts that meet under a key are linked along the minimum spanning tree
+    of their differing bits and to their NEIGHBOURS nearest, never all with all; each link is verified
     by the exact similarity of the whole texts' shingle sets. At a similarity of 0.8 a pair shares a
     key with a probability over 0.99. A bucket of more than BUCKET_BLOCK texts is
     compared in pairs of blocks, whose trees together hold its tree.
@@ -246,8 +253,9 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = checkpointed(_sketches(docs))
     texts = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("segments").alias("segments"), F.min("anchors").alias("anchors")))
     keyed = texts.select("node", "segments", "anchors").mapInArrow(_keyed, "key long, node string, segments array<long>")
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).filter("n > 1")
-    pairs = met.filter("n = 2").select("u", "v")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "segments")).alias("lo"), F.max(F.struct("node", "segments")).alias("hi")).filter("n > 1")
+    apart = sum((F.bit_count(F.col("lo.segments")[k].bitwiseXOR(F.col("hi.segments")[k])) for k in range(SEGMENTS)), F.lit(0))
+    pairs = met.filter((F.col("n") == 2) & (apart <= FAR)).select(F.col("lo.node").alias("u"), F.col("hi.node").alias("v"))
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     crowd = keyed.join(met.filter("n > 2").select("key", blocks.alias("blocks")), "key")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
