@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.operators.graph import connected_components
+from siftstone.operators.graph import checkpointed, connected_components
 
 
 def numbered(components: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def dbscan(ids: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
     A core row has min_samples - 1 neighbours or more; clusters are components of core
     rows, and a border row joins the lowest-numbered cluster among its core neighbours.
     """
+    pairs = checkpointed(pairs.select("a", "b"))
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     core = both.groupBy("id").count().filter(F.col("count") + 1 >= min_samples).select("id")
     core_pairs = pairs.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi")

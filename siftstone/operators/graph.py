@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder, its lineage cut; for frames that are used more than once."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -43,10 +44,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     task but as counts: the stars are a minimum per node and a join.
     Edges with a null end and loops are left out.
     """
-    e = _checkpoint(edges.select("u", "v").filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = checkpointed(edges.select("u", "v").filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
     for _ in range(max_rounds):
-        e = _checkpoint(_star(_star(e, True), False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        e = checkpointed(_star(_star(e, True), False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first()
         if now == last:
             break

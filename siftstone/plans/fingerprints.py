@@ -8,7 +8,7 @@ from siftstone.catalog import query
 from siftstone.functions import text as tx
 from siftstone.functions import vectors as vec
 from siftstone.operators import dedup
-from siftstone.operators.graph import connected_components
+from siftstone.operators.graph import checkpointed, connected_components
 from siftstone.sources.tables import table
 
 _EXACT = """
@@ -72,6 +72,11 @@ def token_simhash(docs):
     return summed.select("id", "scope", word(0).alias("hi"), word(1).alias("lo"))
 
 
+def _stored_simhash(spark, d):
+    """The hashes, written once: both sides of the pair join read them."""
+    return checkpointed(token_simhash(table(spark, d, "documents")))
+
+
 _SIMHASH = """
 WITH tokens AS (SELECT doc_id AS id, lang AS scope, unnest(string_split(lower(text), ' ')) AS t FROM documents),
 counts AS (SELECT id, scope, t, count(*) AS tf, ('0x' || substring(md5(t), 1, 8))::BIGINT AS w0, ('0x' || substring(md5(t), 9, 8))::BIGINT AS w1 FROM tokens WHERE t <> '' GROUP BY ALL),
@@ -85,7 +90,7 @@ _BANDS = [("hi", 16, 16), ("hi", 0, 16), ("lo", 16, 16), ("lo", 0, 16)]
 @query(_SIMHASH + "SELECT a, b, dist::BIGINT AS dist FROM pairs WHERE dist <= 3")
 def near_pairs_hamming(spark, d):
     """Pairs within 3 bits by four bands."""
-    return dedup.hamming_pairs(token_simhash(table(spark, d, "documents")), ["hi", "lo"], _BANDS, 3, ["scope"]).withColumn("dist", F.col("dist").cast("long"))
+    return dedup.hamming_pairs(_stored_simhash(spark, d), ["hi", "lo"], _BANDS, 3, ["scope"]).withColumn("dist", F.col("dist").cast("long"))
 
 
 @query(
@@ -98,7 +103,7 @@ SELECT node AS id, component, greatest(70, 98 - 4 * d)::INT AS confidence FROM c
 )
 def near_components(spark, d):
     """Components of near pairs; the confidence comes from a group's least distance."""
-    pairs = dedup.hamming_pairs(token_simhash(table(spark, d, "documents")), ["hi", "lo"], _BANDS, 3, ["scope"])
+    pairs = checkpointed(dedup.hamming_pairs(_stored_simhash(spark, d), ["hi", "lo"], _BANDS, 3, ["scope"]))
     nodes = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     least = pairs.join(nodes, pairs["a"] == nodes["node"]).groupBy("component").agg(F.min("dist").alias("d"))
     return nodes.join(least, "component").select(F.col("node").alias("id"), "component", F.greatest(F.lit(70), 98 - 4 * F.col("d")).cast("int").alias("confidence"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftstone.catalog import query
 from siftstone.functions import vectors as vec
 from siftstone.operators import cluster, match
-from siftstone.operators.graph import connected_components
+from siftstone.operators.graph import checkpointed, connected_components
 from siftstone.sources.tables import table
 
 EPS = 0.60
@@ -149,6 +149,7 @@ def centroid_merge(spark, d):
 
 def _members(spark, d):
     rows, pairs = _near(spark, d)
+    pairs = checkpointed(pairs)
     comp = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return rows.join(comp.withColumnRenamed("node", "id"), "id"), pairs
 
