@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone import make_importable
+
 LEDGER_SCHEMA = "seq long, op string, status string, source struct<path:string,size:long>, dest struct<path:string,size:long>, extra map<string,string>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,7 +13,7 @@ def work_dir(spark: SparkSession) -> str:
     """A new folder for one stream's checkpoint and output, in the shared place."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="siftstone-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
