@@ -41,8 +41,8 @@ END = 1
 LIMIT = 17
 EVERY = 128
 BLOCK = 262_144
-#: Encoded chunks that a worker keeps.
-KEPT = 400_000
+#: Encoded chunks, and words, that a worker keeps, twice: those met lately, and those met in the time before.
+KEPT = 250_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -56,7 +56,7 @@ class ChunkEncoder:
     """The tokenizers library, with the ids of chunks that are free of white space kept.
 
     The tokenizer splits at white space and drops it, so a text's ids are those of
-    its chunks. A new chunk of letters of western Europe, digits and ASCII marks is
+    its chunks. A text or new chunk of letters of western Europe, digits and ASCII marks is
     split here into the words that the tokenizer's pattern gives, and each word not
     met before goes to the library's BPE model. Any other chunk (apostrophes, other
     scripts, combining marks, added tokens) goes through the library as a whole; such
@@ -85,23 +85,26 @@ class ChunkEncoder:
         self.special = [a.content.encode() for _, a in added]
         self.plain = re.compile(f"[!-&(-~{self.LETTERS}{self.UPPER}]+").fullmatch
         self.split = re.compile(f"[{self.LETTERS}]+|[0-9]|[^{self.LETTERS}0-9]+").findall
+        self.plain_text = re.compile(f"[\t-\r !-&(-~{self.LETTERS}{self.UPPER}]*").fullmatch
+        self.split_text = re.compile(f"[{self.LETTERS}]+|[0-9]|[^{self.LETTERS}0-9\t-\r ]+").findall
         self.bytes = byte_characters()
         self.model = self.tokenizer.model
         self.seen: dict[bytes, bytes] = {}
+        self.seen_before: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        if not word.isascii():
-            shown = "".join(map(self.bytes.__getitem__, word.encode()))
-        else:
-            shown = word
-        ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if len(self.words) >= KEPT:
-            self.words.clear()
+        ids = self.words_before.get(word)
+        if ids is None:
+            shown = word if word.isascii() else "".join(map(self.bytes.__getitem__, word.encode()))
+            ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
         self.words[word] = ids
         return ids
 
     def _learn(self, chunks: set[bytes]) -> None:
+        if len(self.words) > KEPT:
+            self.words_before, self.words = self.words, {}
         whole, other, words = [], [], self.words
         for c in chunks:
             text = c.decode()
@@ -119,15 +122,30 @@ class ChunkEncoder:
         for c in other:
             self.seen[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _plain(self, text: bytes) -> bytes | None:
+        """The ids of a text of known letters and marks; None for any other."""
+        decoded = text.decode()
+        if b"<|" in text or not self.plain_text(decoded):
+            return None
+        if len(self.words) > KEPT:
+            self.words_before, self.words = self.words, {}
+        words = self.words
+        return b"".join([words.get(w) or self._word(w) for w in self.split_text(decoded.lower())])
+
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.seen) if split else set()
-        if len(self.seen) + len(new) > KEPT:
-            self.seen.clear()
-            new = set().union(*split)
-        self._learn(new)
-        return [b"".join(map(self.seen.__getitem__, s)) for s in split]
+        out = [self._plain(t) for t in texts]
+        other = [k for k, ids in enumerate(out) if ids is None]
+        split = [texts[k].split() for k in other]
+        if len(self.seen) > KEPT:
+            self.seen_before, self.seen = self.seen, {}
+        new = set().union(*split).difference(self.seen)
+        for c in new & self.seen_before.keys():
+            self.seen[c] = self.seen_before[c]
+        self._learn(new.difference(self.seen))
+        for k, chunks in zip(other, split, strict=True):
+            out[k] = b"".join(map(self.seen.__getitem__, chunks))
+        return out
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
