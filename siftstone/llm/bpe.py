@@ -196,7 +196,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     out_sha.append(hashlib.sha256(back).hexdigest())
                     same.append(back == text.encode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
-        give_back()
+            give_back()
 
     return id_and_text(docs).mapInArrow(run, SCHEMA)
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone import make_importable
+
 #: Rows of one Arrow batch. Texts may be long, so a batch holds few of them.
 BATCH_ROWS = 256
 
@@ -22,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
@@ -47,12 +50,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, and thereby the memory of a Python worker."""
+    make_importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    make_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -67,8 +72,18 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+_given_back = 0.0
+
+
 def give_back() -> None:
-    """Return a Python worker's free memory to the machine; workers outlive their tasks."""
+    """Return a Python worker's free memory to the machine, once a second at most.
+
+    Workers outlive their tasks, and the allocators would keep what a batch has used.
+    """
+    global _given_back
+    if time.monotonic() - _given_back < 1.0:
+        return
+    _given_back = time.monotonic()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import checkpointed, small_batches
+from siftstone.llm.common import checkpointed, give_back, small_batches
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -41,6 +41,7 @@ def word_count(text: str | Column) -> Column:
 
     @F.arrow_udf("long")
     def size(column: pa.Array) -> pa.Array:
+        give_back()
         return pa.array([len(t.split()) if t else 0 for t in column.cast(pa.binary()).to_pylist()], pa.int64())
 
     return size(F.col(text) if isinstance(text, str) else text)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import held_out, id_and_text, small_batches
+from siftstone.llm.common import give_back, held_out, id_and_text, small_batches
 
 #: Labelled documents that a model is fitted on at most.
 SAMPLE = 4000
@@ -153,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame) -> AttentionMIL:
             x, sizes = encode(texts)
             bags = np.split(x, np.cumsum(sizes)[:-1]) if texts else []
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("y"), pa.array([b.tobytes() for b in bags], pa.binary())], ["_id", "y", "bag"])
+            give_back()
 
     rows = sorted(labelled_sample(docs, labels, "quality").mapInArrow(run, "_id long, y double, bag binary").collect(), key=lambda r: (r["_id"], r["y"], bytes(r["bag"])))
     return AttentionMIL.fit([np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in rows], np.array([float(r["y"] > 0) for r in rows]))
@@ -163,6 +164,7 @@ def score_column(model: AttentionMIL, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
+        give_back()
         texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
         out = [model.score(texts[k : k + 256]) for k in range(0, len(texts), 256)]
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import held_out, id_and_text, small_batches
+from siftstone.llm.common import give_back, held_out, id_and_text, small_batches
 from siftstone.llm.quality import labelled_sample
 
 SAMPLE = 8000
@@ -177,6 +177,7 @@ def score_column(model: ToxicityModel, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
+        give_back()
         return pa.array(model.score([t or "" for t in column.to_pylist()]), pa.float64())
 
     return score(F.col(text).cast("string"))
