@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(shingle_hashes(words_of(t or b""), shingle)) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            give_back()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
@@ -124,7 +125,7 @@ SEGMENTS = 5
 #: Candidates differ in no more of the 115 bits; at a similarity of 0.8 some 8 differ.
 FAR = 36
 #: Nearest texts of a bucket that each one is held against, beside the spanning tree.
-NEIGHBOURS = 6
+NEIGHBOURS = 10
 #: Texts of a bucket that one task compares at once.
 BUCKET_BLOCK = 4096
 #: Rows that are broadcast at most; longer lists are joined by a shuffle.
@@ -158,6 +159,7 @@ def text_id(text: str) -> Column:
 
     @F.arrow_udf("string")
     def digest(column: pa.Array) -> pa.Array:
+        give_back()
         return pa.array([xxhash.xxh3_128_hexdigest(t or b"") for t in column.cast(pa.binary()).to_pylist()], pa.string())
 
     return digest(F.col(text).cast("string"))
@@ -171,7 +173,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             seg = np.array([s for s, _ in done], np.int64).reshape(-1, SEGMENTS)
             anchor = np.array([a for _, a in done], np.uint64).reshape(-1, SEGMENTS).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string()), pa.array(list(seg), pa.list_(pa.int64())), pa.array(list(anchor), pa.list_(pa.int64()))], ["doc_id", "node", "segments", "anchors"])
-        give_back()
+            give_back()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, node string, segments array<long>, anchors array<long>")
 
@@ -181,21 +183,27 @@ def _keyed(batches):
     for batch in batches:
         seg = batch.column("segments").values.to_numpy().reshape(-1, SEGMENTS)
         anchor = batch.column("anchors").values.to_numpy().reshape(-1, SEGMENTS).view(np.uint64)
-        at, key = [], []
+        at, key, own = [], [], []
         for k in range(SEGMENTS):
             rows, codes = golay.keys(seg[:, k])
             at.append(rows)
+            own.append(codes == golay.decode_table()[seg[rows, k]])
             key.append(_mixed(anchor[rows, k] ^ _mixed((codes + 4096 * k).astype(np.uint64), 2), 3))
         at = np.concatenate(at)
         take = pa.array(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), batch.column("node").take(take), batch.column("segments").take(take)], ["key", "node", "segments"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), batch.column("node").take(take), batch.column("segments").take(take), pa.array(np.concatenate(own))], ["key", "node", "segments", "home"])
+        give_back()
 
 
 def _nearest_in_bucket(table: pa.Table) -> pa.Table:
-    """Edges of a bucket: its minimum spanning tree by differing bits, and each text's NEIGHBOURS nearest."""
+    """Edges of a bucket: its minimum spanning tree by differing bits, and the NEIGHBOURS nearest of each text that is at home.
+
+    A text is at home in the bucket of its nearest codeword, one for each segment.
+    """
     nodes = np.array(table.column("node").to_pylist(), object)
     nodes, first = np.unique(nodes, return_index=True)
     seg = np.array(table.column("segments").to_pylist(), np.int64)[first]
+    home = table.column("home").to_numpy(zero_copy_only=False)[first]
     n = len(nodes)
     edges: dict[tuple[int, int], int] = {}
     if n > 1:
@@ -209,7 +217,7 @@ def _nearest_in_bucket(table: pa.Table) -> pa.Table:
             near = d < apart
             apart[near], link[near] = d[near], now
             d[now] = 127
-            for other in np.argpartition(d, min(NEIGHBOURS, n - 1))[:NEIGHBOURS]:
+            for other in np.argpartition(d, min(NEIGHBOURS, n - 1))[:NEIGHBOURS] if home[now] else ():
                 if other != now:
                     edges[min(now, int(other)), max(now, int(other))] = d[other]
             if not out.any():
@@ -218,6 +226,7 @@ def _nearest_in_bucket(table: pa.Table) -> pa.Table:
             now = int(np.argmin(rest))
             edges[min(now, int(link[now])), max(now, int(link[now]))] = apart[now]
     edges = {e: d for e, d in edges.items() if d <= FAR}
+    give_back()
     return pa.table({"u": pa.array([nodes[a] for a, _ in edges], pa.string()), "v": pa.array([nodes[b] for _, b in edges], pa.string())})
 
 
@@ -230,6 +239,7 @@ def _similar(batches):
             common = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9)
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
 
 def _limited(df: DataFrame) -> DataFrame:
@@ -245,14 +255,15 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     come from five segments of a SimHash of the distinct words. Each is taken with an anchor,
     the 3-word shingle of least hash, as its key is short; a text has all Golay keys of a segment,
     27 in all. Texts that meet under a key are linked along the minimum spanning tree
-    of their differing bits and to their NEIGHBOURS nearest, never all with all; each link is verified
+    of their differing bits and, where they are at home, to their NEIGHBOURS nearest, never all
+    with all; each link is verified
     by the exact similarity of the whole texts' shingle sets. At a similarity of 0.8 a pair shares a
     key with a probability over 0.99. A bucket of more than BUCKET_BLOCK texts is
     compared in pairs of blocks, whose trees together hold its tree.
     """
     rows = checkpointed(_sketches(docs))
     texts = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("segments").alias("segments"), F.min("anchors").alias("anchors")))
-    keyed = texts.select("node", "segments", "anchors").mapInArrow(_keyed, "key long, node string, segments array<long>")
+    keyed = texts.select("node", "segments", "anchors").mapInArrow(_keyed, "key long, node string, segments array<long>, home boolean")
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "segments")).alias("lo"), F.max(F.struct("node", "segments")).alias("hi")).filter("n > 1")
     apart = sum((F.bit_count(F.col("lo.segments")[k].bitwiseXOR(F.col("hi.segments")[k])) for k in range(SEGMENTS)), F.lit(0))
     pairs = met.filter((F.col("n") == 2) & (apart <= FAR)).select(F.col("lo.node").alias("u"), F.col("hi.node").alias("v"))
@@ -260,8 +271,8 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     crowd = keyed.join(met.filter("n > 2").select("key", blocks.alias("blocks")), "key")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    crowd = crowd.select("key", "node", "segments", own.alias("own"), other.alias("other")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    trees = crowd.select("key", "i", "j", "node", "segments").groupBy("key", "i", "j").applyInArrow(_nearest_in_bucket, "u string, v string")
+    crowd = crowd.select("key", "node", "segments", "home", own.alias("own"), other.alias("other")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    trees = crowd.select("key", "i", "j", "node", "segments", "home").groupBy("key", "i", "j").applyInArrow(_nearest_in_bucket, "u string, v string")
     edges = checkpointed(pairs.filter("u <> v").union(trees).distinct())
 
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
@@ -272,6 +283,7 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(words_of(t or b""), SHINGLE)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            give_back()
 
     chosen = id_and_text(docs).select(F.coalesce("doc_id", least).alias("id"), "text").join(_limited(needed.select("id").distinct()), "id", "left_semi")
     sets = checkpointed(chosen.select("id", "text", text_id("text").alias("node")).join(_limited(needed), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(shingles, "node string, shingles binary"))
