@@ -124,10 +124,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEGMENTS = 5
 #: Candidates differ in no more of the 115 bits; at a similarity of 0.8 some 8 differ.
 FAR = 36
-#: Nearest texts of a bucket that each one is held against, beside the spanning tree.
+#: Nearest texts of a bucket that each one is held against first, beside the spanning tree; the rest is met by `_crossing_links`.
 NEIGHBOURS = 10
 #: Texts of a bucket that one task compares at once.
 BUCKET_BLOCK = 4096
+#: Words of the texts whose shingle sets one block holds.
+BLOCK_WORDS = 1_000_000
 #: Rows that are broadcast at most; longer lists are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -172,10 +174,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
             done = [sketch(words_of(t)) for t in texts]
             seg = np.array([s for s, _ in done], np.int64).reshape(-1, SEGMENTS)
             anchor = np.array([a for _, a in done], np.uint64).reshape(-1, SEGMENTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string()), pa.array(list(seg), pa.list_(pa.int64())), pa.array(list(anchor), pa.list_(pa.int64()))], ["doc_id", "node", "segments", "anchors"])
+            words = pa.array([len(t.split()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in texts], pa.string()), pa.array(list(seg), pa.list_(pa.int64())), pa.array(list(anchor), pa.list_(pa.int64())), words], ["doc_id", "node", "segments", "anchors", "words"])
             give_back()
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, node string, segments array<long>, anchors array<long>")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, node string, segments array<long>, anchors array<long>, words long")
 
 
 def _keyed(batches):
@@ -242,11 +245,108 @@ def _similar(batches):
         give_back()
 
 
+def _crossing_links(table: pa.Table) -> pa.Table:
+    """Links (u, v) between components, such that all pairs of the table's texts at SIMILARITY are within one then.
+
+    Exact: of each text, the shingles that are rarest in the table are looked up, as many as a similar
+    text cannot lack all of; each text that has one of them, a fitting size and another component is compared
+    by its whole set. Of two blocks' table, only pairs from both are compared.
+    """
+    component, shingles = table.column("component").to_pylist(), table.column("shingles").to_pylist()
+    by_size = sorted(range(len(shingles)), key=lambda k: len(shingles[k]))
+    names, label = np.unique(np.array([component[k] for k in by_size], object), return_inverse=True)
+    own = table.column("own").to_numpy()[by_size]
+    crossing = table.column("i")[0] != table.column("j")[0]
+    size = np.array([len(shingles[k]) // 8 for k in by_size])
+    first = label.copy()
+    links: list[tuple[int, int]] = []
+
+    def link(x: int, others: np.ndarray) -> None:
+        for y in others:
+            if label[y] != label[x]:
+                links.append((int(first[x]), int(first[y])))
+                label[label == label[y]] = label[x]
+
+    link(0, np.flatnonzero(size == 0) if size[0] == 0 else np.zeros(0, np.int64))
+    _, token, texts = np.unique(np.frombuffer(b"".join(shingles[k] for k in by_size), np.uint64), return_inverse=True, return_counts=True)
+    start = np.cumsum(size) - size
+    member = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((token, texts[token], member))
+    looked_up = size - np.ceil(SIMILARITY * size - 1e-6).astype(np.int64) + 1
+    order = order[(np.arange(len(order)) - start[member] < looked_up[member]) & (texts[token[order]] > 1)]
+    order = order[np.argsort(token[order], kind="stable")]
+    if len(order):
+        at = member[order]
+        begins = np.flatnonzero(np.r_[True, np.diff(token[order]) > 0])
+        ends = np.r_[begins[1:], len(order)]
+        mixed = np.flatnonzero(np.minimum.reduceat(label[at], begins) != np.maximum.reduceat(label[at], begins))
+        lists: dict[int, list[np.ndarray]] = {}
+        for b, e in zip(begins[mixed], ends[mixed], strict=True):
+            for x in at[b + 1 : e]:
+                lists.setdefault(int(x), []).append(at[b:e])
+        met, has = np.zeros(len(size), bool), np.zeros(len(texts), np.int32)
+        for x in sorted(lists):
+            for others in lists[x]:
+                met[others] = True
+            y = np.flatnonzero(met[:x])
+            met[:] = False
+            y = y[(label[y] != label[x]) & (size[y] >= SIMILARITY * size[x] - 1e-6)]
+            if crossing:
+                y = y[own[y] != own[x]]
+            if not len(y):
+                continue
+            mine = token[start[x] : start[x] + size[x]]
+            has[mine] = 1
+            to = np.cumsum(size[y]) - size[y]
+            common = np.add.reduceat(has[token[np.arange(size[y].sum()) + np.repeat(start[y] - to, size[y])]], to)
+            has[mine] = 0
+            link(x, y[common >= SIMILARITY * (size[x] + size[y] - common) - 1e-9])
+    give_back()
+    return pa.table({"u": pa.array([names[a] for a, _ in links], pa.string()), "v": pa.array([names[b] for _, b in links], pa.string())})
+
+
 def _limited(df: DataFrame) -> DataFrame:
     """`df` marked for broadcast if it is a checked, small number of rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _shingle_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, shingles) of `texts` (node, least), read from `docs` again: the sorted, distinct hashes of the shingles."""
+    least = F.lit(-(2**63))
+    needed = checkpointed(texts.select("node", F.coalesce("least", least).alias("id")))
+
+    def shingles(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words_of(t or b""), SHINGLE)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            give_back()
+
+    chosen = id_and_text(docs).select(F.coalesce("doc_id", least).alias("id"), "text").join(_limited(needed.select("id").distinct()), "id", "left_semi")
+    return checkpointed(chosen.select("id", "text", text_id("text").alias("node")).join(_limited(needed), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(shingles, "node string, shingles binary"))
+
+
+def _links_of_anchors(docs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(u, v): links between components of `texts` among those that share an anchor; None if no anchor has two components.
+
+    Groups of the same texts, as near copies share several anchors, are searched once.
+    """
+    members = texts.select("node", "component", "words", F.posexplode("anchors").alias("k", "anchor"))
+    groups = members.groupBy("k", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("sign"), F.expr("bit_xor(xxhash64(node, 1))").alias("sign2"))
+    groups = groups.filter("n > 2 and lo <> hi").groupBy("n", "sign", "sign2").agg(F.min(F.struct("k", "anchor", "words")).alias("g"))
+    blocks = F.greatest(F.ceil(F.col("n") / BUCKET_BLOCK), F.ceil(F.col("g.words") / BLOCK_WORDS)).cast("int")
+    groups = checkpointed(groups.select("g.k", "g.anchor", blocks.alias("blocks")))
+    if groups.isEmpty():
+        return None
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.drop("words").join(_limited(groups), ["k", "anchor"]).select("k", "anchor", "node", "component", own.alias("own"), other.alias("other"))
+    dealt = checkpointed(dealt.select("k", "anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component"))
+    missing = texts.join(dealt.select("node").distinct(), "node", "left_semi").join(sets, "node", "left_anti")
+    all_sets = sets.union(_shingle_sets(docs, missing))
+    found = dealt.join(all_sets, "node").select("k", "anchor", "i", "j", "own", "component", "shingles")
+    return found.groupBy("k", "anchor", "i", "j").applyInArrow(_crossing_links, "u string, v string")
+
+
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, components): rows (doc_id, node) of all documents, and (node, least, component).
 
@@ -255,14 +355,17 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     come from five segments of a SimHash of the distinct words. Each is taken with an anchor,
     the 3-word shingle of least hash, as its key is short; a text has all Golay keys of a segment,
     27 in all. Texts that meet under a key are linked along the minimum spanning tree
-    of their differing bits and, where they are at home, to their NEIGHBOURS nearest, never all
-    with all; each link is verified
+    of their differing bits and, where they are at home, to their NEIGHBOURS nearest; each link is verified
     by the exact similarity of the whole texts' shingle sets. At a similarity of 0.8 a pair shares a
     key with a probability over 0.99. A bucket of more than BUCKET_BLOCK texts is
     compared in pairs of blocks, whose trees together hold its tree.
+
+    These links may leave similar texts of a bucket of three or more apart. So all texts with the same
+    anchor, whatever their Golay keys, are searched exactly for pairs of different components (`_crossing_links`),
+    in pairs of blocks; texts that are in one component already are not compared.
     """
     rows = checkpointed(_sketches(docs))
-    texts = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("segments").alias("segments"), F.min("anchors").alias("anchors")))
+    texts = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("segments").alias("segments"), F.min("anchors").alias("anchors"), F.min("words").alias("words")))
     keyed = texts.select("node", "segments", "anchors").mapInArrow(_keyed, "key long, node string, segments array<long>, home boolean")
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "segments")).alias("lo"), F.max(F.struct("node", "segments")).alias("hi")).filter("n > 1")
     apart = sum((F.bit_count(F.col("lo.segments")[k].bitwiseXOR(F.col("hi.segments")[k])) for k in range(SEGMENTS)), F.lit(0))
@@ -276,21 +379,17 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = checkpointed(pairs.filter("u <> v").union(trees).distinct())
 
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    least = F.lit(-(2**63))
-    needed = checkpointed(texts.join(ends, "node", "left_semi").select("node", F.coalesce("least", least).alias("id")))
-
-    def shingles(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t or b""), SHINGLE)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
-            give_back()
-
-    chosen = id_and_text(docs).select(F.coalesce("doc_id", least).alias("id"), "text").join(_limited(needed.select("id").distinct()), "id", "left_semi")
-    sets = checkpointed(chosen.select("id", "text", text_id("text").alias("node")).join(_limited(needed), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(shingles, "node string, shingles binary"))
+    sets = _shingle_sets(docs, texts.join(ends, "node", "left_semi"))
     both = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
     links = both.mapInArrow(_similar, "u string, v string")
     roots = checkpointed(connected_components(links))
-    return rows.select("doc_id", "node"), texts.select("node", "least").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = checkpointed(texts.drop("segments").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    more = _links_of_anchors(docs, linked, sets)
+    components = linked.select("node", "least", "component")
+    if more is not None:
+        joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
+        components = components.join(joined, "component", "left").select("node", "least", F.coalesce("_joined", "component").alias("component"))
+    return rows.select("doc_id", "node"), components
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -274,6 +274,80 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs):
     assert kept == set(groups.values())
 
 
+def common_anchors():
+    """15 words whose 3-word shingles have so low hashes that a text with them has its five anchors there."""
+    rng, best = np.random.default_rng(1), [(2**64, None)] * simhash.SEGMENTS
+    for a, b, c in rng.integers(0, 10**6, (40000, 3)):
+        words = [b"h%d" % a, b"h%d" % b, b"h%d" % c]
+        h = simhash.shingle_hashes(words, 3)
+        for k in range(simhash.SEGMENTS):
+            best[k] = min(best[k], (int(simhash._mixed(h, k)[0]), words))
+    return [w.decode() for _, words in best for w in words]
+
+
+def same_words(pairs, seed):
+    """Texts of the same words in any order, each with one copy in which two neighbours are exchanged."""
+    rng, head = np.random.default_rng(seed), common_anchors()
+    out = []
+    for _ in range(pairs):
+        w = [f"v{k}" for k in rng.permutation(90)]
+        at = int(rng.integers(20, 70))
+        out += [" ".join(head + w), " ".join(head + w[:at] + [w[at + 1], w[at]] + w[at + 2 :])]
+    return out
+
+
+def test_near_dedup_of_crowded_buckets_equals_brute_force(spark, monkeypatch):
+    texts = dict(enumerate(same_words(150, 2)))
+    groups = jaccard_groups(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(set(groups.values())) == 150
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == set(groups.values())
+    # the same in several blocks
+    monkeypatch.setattr(simhash, "BLOCK_WORDS", 10_000)
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == set(groups.values())
+
+
+def edited_copies(n, seed):
+    """Copies of one text with 0 to 12 words changed: some similar to each other, some to none."""
+    rng, base = np.random.default_rng(seed), [f"b{k}" for k in range(120)]
+    return [" ".join(f"e{rng.integers(3)}-{k}" if k in at else w for k, w in enumerate(base)) for at in (set(rng.integers(0, 120, rng.integers(0, 13)).tolist()) for _ in range(n))]
+
+
+@pytest.mark.parametrize("texts", [edited_copies(2500, 3), same_words(1250, 4), ["", " ", "a b c", "  ", "a b c d e f"]], ids=["edited copies", "same words", "short"])
+def test_crossing_links_equal_brute_force(texts):
+    sets = [np.unique(simhash.shingle_hashes(simhash.words_of(t.encode()), simhash.SHINGLE)) for t in texts]
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    member = np.repeat(np.arange(len(sets)), size)
+    near = {k: {k} for k in range(len(sets))}
+    has = np.zeros(token.max() + 1, np.int64)
+    for x in range(len(sets)):
+        has[token[member == x]] = 1
+        both = np.bincount(member, has[token], len(sets))
+        has[:] = 0
+        near[x].update(np.flatnonzero((both >= 0.8 * (size + size[x] - both) - 1e-9)).tolist())
+    table = simhash.pa.table({"i": [0] * len(sets), "j": [0] * len(sets), "own": simhash.pa.array([0] * len(sets), "int32"), "component": [f"{k:04}" for k in range(len(sets))], "shingles": [s.tobytes() for s in sets]})
+    links = simhash._crossing_links(table)
+    found = {k: {k} for k in range(len(sets))}
+    for u, v in zip(links["u"].to_pylist(), links["v"].to_pylist(), strict=True):
+        found[int(u)].add(int(v))
+        found[int(v)].add(int(u))
+    assert reached(found) == reached(near)
+
+
+def reached(near):
+    """The least number that each one reaches."""
+    out = {}
+    for k in sorted(near):
+        todo = [] if k in out else [k]
+        while todo:
+            x = todo.pop()
+            if x not in out:
+                out[x] = k
+                todo.extend(near[x])
+    return out
+
+
 def test_near_dedup_edge_rows(spark, edge):
     out = simhash.near_dedup(edge)
     assert out.columns == edge.columns
