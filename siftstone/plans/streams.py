@@ -1,4 +1,7 @@
-"""Queries that run as streams over the files of a table; windows on event time go beyond the batch operators."""
+"""Queries that run as streams over the files of a table; windows on event time go beyond the batch operators.
+
+The tables are finite, so windows take no watermark: it would drop what comes late, and keep back what is still open.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +13,11 @@ from siftstone.streaming import micro
 
 @query("SELECT event_type, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
-    """X11: daily counts by event time, with a watermark; the last day closes as the data ends."""
-    e = micro.source(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    """X11: daily counts by event time; no row is late, however the files are ordered."""
+    e = micro.source(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     rows = e.groupBy(F.window("at", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    closed = micro.run_to_table(rows.select("event_type", F.col("window.start").alias("start"), "n", "total"))
-    last = spark.read.parquet(f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    upto = closed.agg(F.max("start").alias("s")).first()["s"]
-    # what the watermark had not closed yet
-    still = last if upto is None else last.filter(F.col("at") >= F.lit(upto) + F.expr("interval 1 day"))
-    open_ = still.groupBy(F.date_trunc("day", "at").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return closed.unionByName(open_.select("event_type", "start", "n", "total")).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
+    days = micro.latest_result(rows.select("event_type", F.col("window.start").alias("start"), "n", "total"))
+    return days.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -43,7 +41,7 @@ def stream_fingerprints(spark, d):
 
 @query()
 def stream_sessions(spark, d):
-    """X11: sessions of a user's events with gaps under an hour; what the watermark has closed."""
-    e = micro.source(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    """X11: sessions of a user's events with gaps under an hour; no row is late, and the last sessions are there."""
+    e = micro.source(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     rows = e.groupBy(F.session_window("at", "1 hour"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return micro.run_to_table(rows.select("user_id", F.col("session_window.start").alias("start"), "n"))
+    return micro.latest_result(rows.select("user_id", F.col("session_window.start").alias("start"), "n"))

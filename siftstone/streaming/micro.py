@@ -38,6 +38,21 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
+def latest_result(stream: DataFrame) -> DataFrame:
+    """The whole result of an aggregation after the last batch, in complete mode; each batch writes a new version."""
+    spark = stream.sparkSession
+    place = work_dir(spark)
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/v={number}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else 0
+    return spark.read.schema(schema).parquet(f"{place}/v={last}")
+
+
 def upsert_latest(stream: DataFrame, key: str, seq: str) -> DataFrame:
     """The latest row of each key, kept up to date batch by batch.
 

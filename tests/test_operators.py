@@ -10,9 +10,11 @@ from siftstone.functions import text as tx
 from siftstone.functions import vectors as vec
 from siftstone.operators import cluster, dedup, match, ranking, rules, snapshot
 from siftstone.operators.graph import connected_components
-from siftstone.plans import runner
+from siftstone.plans import runner, streams
 from siftstone.sources import sinks, tables
 
+SF = "/root/testdata/sf0.001"
+
 
 def components(edges):
     label = {x: x for e in edges for x in e}
@@ -194,3 +196,20 @@ def test_preflight_and_replace(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5 and spark.read.parquet(backup).count() == 3
     assert [c for _, c, _ in runner.preflight(spark, [path, path + "none"], 0, 2000)] == ["unreadable_input", "little_memory"]
     assert runner.partitions_for(1000, 2600) == 11
+
+
+def test_stream_windows_of_many_shuffled_files_equal_batch(spark, tmp_path):
+    src = spark.read.parquet(f"{SF}/events.parquet")
+    src.repartition(60, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    e = src.withColumn("at", F.col("ts").cast("timestamp"))
+    days = {(r.event_type, str(r.day), r.n) for r in e.groupBy("event_type", F.to_date("at").alias("day")).agg(F.count("*").alias("n")).collect()}
+    got = streams.stream_tumbling(spark, str(tmp_path)).collect()
+    assert {(r.event_type, r.day, r.n) for r in got} == days and len(got) == len(days)
+    sessions = []
+    for r in e.groupBy("user_id").agg(F.sort_array(F.collect_list("at")).alias("at")).collect():
+        for k, at in enumerate(r["at"]):
+            if k and (at - r["at"][k - 1]).total_seconds() < 3600:
+                sessions[-1][2] += 1
+            else:
+                sessions.append([r.user_id, at, 1])
+    assert sorted(map(tuple, streams.stream_sessions(spark, str(tmp_path)).collect())) == sorted(map(tuple, sessions))
