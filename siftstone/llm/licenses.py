@@ -120,7 +120,8 @@ PLAIN = (
     ("postgresql", "postgresql licen", "postgresql licen[sc]e", 0.8),
     ("vim", "vim licen", "vim licen[sc]e", 0.7),
     ("ruby", "ruby licen", "ruby licen[sc]e", 0.7),
-    ("hpnd", "hpnd", "hpnd|historical permission notice and disclaimer", 0.7),
+    ("hpnd", "hpnd", "hpnd", 0.7),
+    ("hpnd", "historical permission", "historical permission notice and disclaimer", 0.7),
     ("json", "not evil", "shall be used for good not evil", 1.0),
     ("proprietary", "proprietary", "proprietary and confidential", 0.8),
     ("proprietary", "unauthorized", "unauthorized (?:copying|reproduction|use|distribution) (?:of this (?:file|work|document) )?(?:via any medium )?is (?:strictly )?prohibited", 0.9),
@@ -128,7 +129,7 @@ PLAIN = (
     ("proprietary", "trade secret", "trade secrets? (?:of|and)", 0.4),
     ("warranty-disclaimer", "as is", "(?:provided|distributed|licensed) as is", 0.4),
     ("warranty-disclaimer", "warrant", "without (?:any )?warrant(?:y|ies)", 0.4),
-    ("reserved", "rights reserved", "(?:all|some|no) rights (?:are )?reserved", 0.6),
+    ("reserved", "rights", "(?:all|some|no) rights (?:are )?reserved", 0.6),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 0.5),
     ("copyright", "copyright", "copyright c", 0.4),
     ("copyright", "©", "©(?: ?(?:19|20)[0-9][0-9])?", 0.4),

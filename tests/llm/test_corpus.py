@@ -4,6 +4,7 @@ import hashlib
 import json
 import re
 import zlib
+from re import _constants, _parser
 
 import numpy as np
 import oracle
@@ -219,6 +220,39 @@ def test_license_rules(text, labels):
     assert licenses.scan_text(text.encode())[5] == labels
 
 
+def spelled(parsed):
+    """Texts of a parsed pattern: all branches, optional parts absent and present, the first letter of a class."""
+    out = [""]
+    for op, arg in parsed:
+        if op is _constants.LITERAL:
+            parts = [chr(arg)]
+        elif op is _constants.IN:
+            parts = ["x" if arg[0][0] is _constants.NEGATE else chr(arg[0][1] if arg[0][0] is _constants.LITERAL else arg[0][1][0])]
+        elif op is _constants.NOT_LITERAL:
+            parts = ["x"]
+        elif op is _constants.SUBPATTERN:
+            parts = spelled(arg[3])
+        elif op is _constants.BRANCH:
+            parts = [t for branch in arg[1] for t in spelled(branch)]
+        elif op is _constants.MAX_REPEAT:
+            parts = ([""] if arg[0] == 0 else []) + spelled(arg[2])
+        elif op in (_constants.ASSERT, _constants.ASSERT_NOT):
+            parts = [""]
+        else:
+            raise ValueError(op)
+        out = [a + b for a in out for b in parts]
+    return out
+
+
+def test_license_rules_imply_their_keywords():
+    for rule in licenses.rules():
+        texts = [t.encode("latin-1") for t in spelled(_parser.parse(rule.pattern.pattern))]
+        assert any(rule.pattern.search(t) for t in texts), rule
+        assert all(rule.keyword in t for t in texts if rule.pattern.search(t)), rule
+    assert licenses.scan_text(b"All rights are reserved.")[5] == "reserved"
+    assert licenses.scan_text(b"Historical Permission Notice and Disclaimer")[5] == "hpnd"
+
+
 def test_license_rules_are_gated_and_nested_ones_go(spark, edge):
     assert len(licenses.rules()) > 300
     form = licenses.words_form(b"gnu general public license version 3 gnu general public license")[1]
