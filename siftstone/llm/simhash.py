@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm import golay
@@ -122,14 +122,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 #: 5-word shingles, a Jaccard similarity of 0.8 or more.
 SHINGLE, SIMILARITY = 5, 0.8
 SEGMENTS = 5
-#: Candidates differ in no more of the 115 bits; at a similarity of 0.8 some 8 differ.
-FAR = 36
-#: Nearest texts of a bucket that each one is held against first, beside the spanning tree; the rest is met by `_crossing_links`.
-NEIGHBOURS = 10
-#: Texts of a bucket that one task compares at once.
-BUCKET_BLOCK = 4096
-#: Words of the texts whose shingle sets one block holds.
-BLOCK_WORDS = 1_000_000
+#: Texts, and words of them, that one task searches at once; larger groups are split.
+BLOCK_TEXTS, BLOCK_WORDS = 4096, 1_000_000
 #: Rows that are broadcast at most; longer lists are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -186,53 +180,15 @@ def _keyed(batches):
     for batch in batches:
         seg = batch.column("segments").values.to_numpy().reshape(-1, SEGMENTS)
         anchor = batch.column("anchors").values.to_numpy().reshape(-1, SEGMENTS).view(np.uint64)
-        at, key, own = [], [], []
+        at, key = [], []
         for k in range(SEGMENTS):
             rows, codes = golay.keys(seg[:, k])
             at.append(rows)
-            own.append(codes == golay.decode_table()[seg[rows, k]])
             key.append(_mixed(anchor[rows, k] ^ _mixed((codes + 4096 * k).astype(np.uint64), 2), 3))
-        at = np.concatenate(at)
-        take = pa.array(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), batch.column("node").take(take), batch.column("segments").take(take), pa.array(np.concatenate(own))], ["key", "node", "segments", "home"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), batch.column("node").take(pa.array(np.concatenate(at)))], ["key", "node"])
         give_back()
 
 
-def _nearest_in_bucket(table: pa.Table) -> pa.Table:
-    """Edges of a bucket: its minimum spanning tree by differing bits, and the NEIGHBOURS nearest of each text that is at home.
-
-    A text is at home in the bucket of its nearest codeword, one for each segment.
-    """
-    nodes = np.array(table.column("node").to_pylist(), object)
-    nodes, first = np.unique(nodes, return_index=True)
-    seg = np.array(table.column("segments").to_pylist(), np.int64)[first]
-    home = table.column("home").to_numpy(zero_copy_only=False)[first]
-    n = len(nodes)
-    edges: dict[tuple[int, int], int] = {}
-    if n > 1:
-        apart = np.full(n, 127, np.int64)
-        link = np.zeros(n, np.int64)
-        out = np.ones(n, bool)
-        now = 0
-        for _ in range(n):
-            out[now] = False
-            d = np.bitwise_count(seg ^ seg[now]).sum(1).astype(np.int64)
-            near = d < apart
-            apart[near], link[near] = d[near], now
-            d[now] = 127
-            for other in np.argpartition(d, min(NEIGHBOURS, n - 1))[:NEIGHBOURS] if home[now] else ():
-                if other != now:
-                    edges[min(now, int(other)), max(now, int(other))] = d[other]
-            if not out.any():
-                break
-            rest = np.where(out, apart, 999)
-            now = int(np.argmin(rest))
-            edges[min(now, int(link[now])), max(now, int(link[now]))] = apart[now]
-    edges = {e: d for e, d in edges.items() if d <= FAR}
-    give_back()
-    return pa.table({"u": pa.array([nodes[a] for a, _ in edges], pa.string()), "v": pa.array([nodes[b] for _, b in edges], pa.string())})
-
-
 def _similar(batches):
     for batch in batches:
         u, v = batch.column("su").to_pylist(), batch.column("sv").to_pylist()
@@ -250,13 +206,13 @@ def _crossing_links(table: pa.Table) -> pa.Table:
 
     Exact: of each text, the shingles that are rarest in the table are looked up, as many as a similar
     text cannot lack all of; each text that has one of them, a fitting size and another component is compared
-    by its whole set. Of two blocks' table, only pairs from both are compared.
+    by its whole set. Where some texts are visitors (not `home`), only pairs of a visitor and a text at home are compared.
     """
     component, shingles = table.column("component").to_pylist(), table.column("shingles").to_pylist()
     by_size = sorted(range(len(shingles)), key=lambda k: len(shingles[k]))
     names, label = np.unique(np.array([component[k] for k in by_size], object), return_inverse=True)
-    own = table.column("own").to_numpy()[by_size]
-    crossing = table.column("i")[0] != table.column("j")[0]
+    home = table.column("home").to_numpy(zero_copy_only=False)[by_size]
+    visited = not home.all()
     size = np.array([len(shingles[k]) // 8 for k in by_size])
     first = label.copy()
     links: list[tuple[int, int]] = []
@@ -291,8 +247,8 @@ def _crossing_links(table: pa.Table) -> pa.Table:
             y = np.flatnonzero(met[:x])
             met[:] = False
             y = y[(label[y] != label[x]) & (size[y] >= SIMILARITY * size[x] - 1e-6)]
-            if crossing:
-                y = y[own[y] != own[x]]
+            if visited:
+                y = y[home[y] != home[x]]
             if not len(y):
                 continue
             mine = token[start[x] : start[x] + size[x]]
@@ -325,26 +281,82 @@ def _shingle_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(chosen.select("id", "text", text_id("text").alias("node")).join(_limited(needed), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(shingles, "node string, shingles binary"))
 
 
+def _group_sizes(members: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of `members` that hold several components: n, words, and the largest component's name, n and words.
+
+    Groups of the same texts, as near copies share several anchors, are named once. Rows meet as counts
+    of each component, so a group of any size needs no task of its own.
+    """
+    each = members.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("c"), F.sum("words").alias("w"), F.expr("bit_xor(xxhash64(node))").alias("s"), F.expr("bit_xor(xxhash64(node, 1))").alias("s2"))
+    most = F.max(F.struct("c", "component", "w"))
+    groups = each.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("w").alias("words"), most.alias("most"), F.expr("bit_xor(s)").alias("s"), F.expr("bit_xor(s2)").alias("s2"))
+    named = F.struct(*by, "words", "most")
+    return groups.filter("n > most.c").groupBy("n", "s", "s2").agg(F.min(named).alias("g")).select("g.*", "n")
+
+
+def _prefix_tokens(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """`members` of large groups once for each shingle (token) that is among their rarest of the group.
+
+    As many as a similar text cannot lack all of: two texts at SIMILARITY have one in common.
+    """
+
+    def tokens(batches):
+        for batch in batches:
+            found = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            size = pa.array(np.array([len(f) for f in found], np.int64))
+            columns = [batch.column(c).take(at) for c in ("k", "anchor", "node", "component", "words")]
+            yield pa.RecordBatch.from_arrays([*columns, size.take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["k", "anchor", "node", "component", "words", "size", "token"])
+
+    each = members.join(sets, "node").select("k", "anchor", "node", "component", "words", "shingles").mapInArrow(tokens, "k int, anchor long, node string, component string, words long, size long, token long")
+    common = each.groupBy("k", "anchor", "token").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("k", "anchor", "node").orderBy("df", "token")
+    looked_up = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-6) + 1
+    ranked = each.join(common, ["k", "anchor", "token"]).withColumn("rank", F.row_number().over(order))
+    return ranked.filter((F.col("rank") <= looked_up) & (F.col("df") > 1)).select("k", "anchor", "token", "node", "component", "words")
+
+
+def _dealt(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """`members` of `groups` dealt to blocks (i, j) of bounded size.
+
+    A group within the bounds is one block. In a larger one, a text is at home in its block i; the texts
+    outside the largest component are also dealt to blocks j and visit each block i. So a crowd that is one component already,
+    but for a few texts, is read once, and each of the few is held against all of it.
+    """
+    by = ["k", "anchor", "token"]
+    blocks = lambda n, words: F.greatest(F.lit(1), F.ceil(n / BLOCK_TEXTS), F.ceil(words / BLOCK_WORDS)).cast("int")
+    at_home = blocks(F.col("n"), F.col("words")).alias("at_home")
+    visiting = F.when(at_home > 1, blocks(F.col("n") - F.col("most.c"), F.col("words") - F.col("most.w"))).otherwise(1).alias("visiting")
+    joined = members.drop("words").join(_limited(checkpointed(groups.select(*by, at_home, visiting, F.col("most.component").alias("largest")))), by)
+    own = F.pmod(F.xxhash64("node"), F.col("at_home")).cast("int")
+    home = joined.select(*by, own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("visiting") - 1)).alias("j"), F.lit(True).alias("home"), "node", "component")
+    guests = joined.filter("at_home > 1 and component <> largest")
+    seat = F.pmod(F.xxhash64("node", F.lit(1)), F.col("visiting")).cast("int")
+    visits = guests.select(*by, F.explode(F.sequence(F.lit(0), F.col("at_home") - 1)).alias("i"), seat.alias("j"), F.lit(False).alias("home"), "node", "component")
+    return home.union(visits)
+
+
 def _links_of_anchors(docs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(u, v): links between components of `texts` among those that share an anchor; None if no anchor has two components.
 
-    Groups of the same texts, as near copies share several anchors, are searched once.
+    A group beyond one task's bounds is split by its texts' rarest shingles, each with its own, smaller list of texts,
+    as texts of one passage and else different share none of them. Lists of one component are dropped, as are groups.
     """
-    members = texts.select("node", "component", "words", F.posexplode("anchors").alias("k", "anchor"))
-    groups = members.groupBy("k", "anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.expr("bit_xor(xxhash64(node))").alias("sign"), F.expr("bit_xor(xxhash64(node, 1))").alias("sign2"))
-    groups = groups.filter("n > 2 and lo <> hi").groupBy("n", "sign", "sign2").agg(F.min(F.struct("k", "anchor", "words")).alias("g"))
-    blocks = F.greatest(F.ceil(F.col("n") / BUCKET_BLOCK), F.ceil(F.col("g.words") / BLOCK_WORDS)).cast("int")
-    groups = checkpointed(groups.select("g.k", "g.anchor", blocks.alias("blocks")))
+    members = checkpointed(texts.select(F.posexplode("anchors").alias("k", "anchor"), "node", "component", "words"))
+    groups = checkpointed(_group_sizes(members, ["k", "anchor"]).filter("n > 2"))
     if groups.isEmpty():
         return None
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.drop("words").join(_limited(groups), ["k", "anchor"]).select("k", "anchor", "node", "component", own.alias("own"), other.alias("other"))
-    dealt = checkpointed(dealt.select("k", "anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component"))
-    missing = texts.join(dealt.select("node").distinct(), "node", "left_semi").join(sets, "node", "left_anti")
-    all_sets = sets.union(_shingle_sets(docs, missing))
-    found = dealt.join(all_sets, "node").select("k", "anchor", "i", "j", "own", "component", "shingles")
-    return found.groupBy("k", "anchor", "i", "j").applyInArrow(_crossing_links, "u string, v string")
+    needed = members.join(_limited(groups.select("k", "anchor")), ["k", "anchor"], "left_semi").select("node").distinct()
+    missing = texts.join(needed, "node", "left_semi").join(sets, "node", "left_anti")
+    all_sets = checkpointed(sets.union(_shingle_sets(docs, missing)))
+    bounded = (F.col("n") <= BLOCK_TEXTS) & (F.col("words") <= BLOCK_WORDS)
+    dealt = _dealt(members.withColumn("token", F.lit(0).cast("long")), groups.filter(bounded).withColumn("token", F.lit(0).cast("long")))
+    large = groups.filter(~bounded).select("k", "anchor")
+    if not large.isEmpty():
+        lists = checkpointed(_prefix_tokens(members.join(_limited(large), ["k", "anchor"], "left_semi"), all_sets))
+        dealt = dealt.union(_dealt(lists, _group_sizes(lists, ["k", "anchor", "token"])))
+    found = dealt.join(all_sets, "node").select("k", "anchor", "token", "i", "j", "home", "component", "shingles")
+    return found.groupBy("k", "anchor", "token", "i", "j").applyInArrow(_crossing_links, "u string, v string")
 
 
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -354,34 +366,25 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     words, in 9 on shingles: too many for the exact search at two bits. So candidates
     come from five segments of a SimHash of the distinct words. Each is taken with an anchor,
     the 3-word shingle of least hash, as its key is short; a text has all Golay keys of a segment,
-    27 in all. Texts that meet under a key are linked along the minimum spanning tree
-    of their differing bits and, where they are at home, to their NEIGHBOURS nearest; each link is verified
-    by the exact similarity of the whole texts' shingle sets. At a similarity of 0.8 a pair shares a
-    key with a probability over 0.99. A bucket of more than BUCKET_BLOCK texts is
-    compared in pairs of blocks, whose trees together hold its tree.
-
-    These links may leave similar texts of a bucket of three or more apart. So all texts with the same
-    anchor, whatever their Golay keys, are searched exactly for pairs of different components (`_crossing_links`),
-    in pairs of blocks; texts that are in one component already are not compared.
+    27 in all. Texts that share a key are candidates; at a similarity of 0.8 a pair shares one
+    with a probability over 0.99. Links are verified by the exact similarity of the whole texts' shingle sets.
+
+    The texts of a key are first held against the least of them: one edge a text and key, whatever the group's size, and the
+    same least text under most keys of a crowd. That joins the most of a crowd. What may still be apart shares its anchor,
+    so all texts of an anchor that has several components, whatever their Golay keys, are then searched
+    exactly for links between components (`_links_of_anchors`). No candidate pair at 0.8 is lost, and
+    there is no bound on partners.
     """
     rows = checkpointed(_sketches(docs))
     texts = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("segments").alias("segments"), F.min("anchors").alias("anchors"), F.min("words").alias("words")))
-    keyed = texts.select("node", "segments", "anchors").mapInArrow(_keyed, "key long, node string, segments array<long>, home boolean")
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "segments")).alias("lo"), F.max(F.struct("node", "segments")).alias("hi")).filter("n > 1")
-    apart = sum((F.bit_count(F.col("lo.segments")[k].bitwiseXOR(F.col("hi.segments")[k])) for k in range(SEGMENTS)), F.lit(0))
-    pairs = met.filter((F.col("n") == 2) & (apart <= FAR)).select(F.col("lo.node").alias("u"), F.col("hi.node").alias("v"))
-    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    crowd = keyed.join(met.filter("n > 2").select("key", blocks.alias("blocks")), "key")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    crowd = crowd.select("key", "node", "segments", "home", own.alias("own"), other.alias("other")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    trees = crowd.select("key", "i", "j", "node", "segments", "home").groupBy("key", "i", "j").applyInArrow(_nearest_in_bucket, "u string, v string")
-    edges = checkpointed(pairs.filter("u <> v").union(trees).distinct())
+    keyed = texts.select("node", "segments", "anchors").mapInArrow(_keyed, "key long, node string")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("u")).filter("n > 1").select("key", "u")
+    edges = checkpointed(keyed.join(met, "key").filter("u <> node").select("u", F.col("node").alias("v")).distinct())
 
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     sets = _shingle_sets(docs, texts.join(ends, "node", "left_semi"))
-    both = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-    links = both.mapInArrow(_similar, "u string, v string")
+    both = edges.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
+    links = both.select("u", "v", "su", "sv").mapInArrow(_similar, "u string, v string")
     roots = checkpointed(connected_components(links))
     linked = checkpointed(texts.drop("segments").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")))
     more = _links_of_anchors(docs, linked, sets)
@@ -395,22 +398,23 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """`docs`, with its own columns, one document left of each group of exact and near copies.
 
-    The one with the least doc_id stays (null ids count as least); of equal rows with that id, one.
+    The one with the least doc_id stays (null ids count as least); of rows with that id and text, the one whose
+    columns as JSON have the least SHA-256. Null texts count as empty, and all empty texts are one group. Texts of any length are read whole.
+    Columns besides doc_id and text may have any name.
     """
     rows, components = near_components(docs)
     least = F.lit(-(2**63))
-    ided = rows.select(F.coalesce("doc_id", least).alias("id"), "node")
-    rows_of = ided.groupBy("id", "node").count()
+    rows_of = rows.select(F.coalesce("doc_id", least).alias("id"), "node").groupBy("id", "node").count()
     grouped = checkpointed(rows_of.join(components.select("node", "component"), "node"))
-    first = grouped.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"))
-    # what goes, and what stays but stands there several times; all other rows are single
-    marked = grouped.join(first, "component").withColumn("goes", (F.col("first.id") != F.col("id")) | (F.col("first.node") != F.col("node")))
-    marks = checkpointed(marked.filter("goes or count > 1").select(F.col("id").alias("_ss_id"), F.col("node").alias("_ss_node"), F.col("goes").alias("_ss_goes")))
-    keyed = docs.withColumn("_ss_id_of", F.coalesce(F.col("doc_id").cast("long"), least)).withColumn("_ss_text", text_id("text"))
-    joined = keyed.join(_limited(marks), (F.col("_ss_id_of") == F.col("_ss_id")) & (F.col("_ss_text") == F.col("_ss_node")), "left")
-    own = docs.columns
-    single = joined.filter("_ss_goes is null").select(*own)
-    repeated = marks.filter("not _ss_goes")
-    if repeated.isEmpty():
-        return single
-    return single.union(joined.filter("not _ss_goes").dropDuplicates(["_ss_id_of", "_ss_text"]).select(*own))
+    # groups of several rows only; all other rows are single
+    first = grouped.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"), F.sum("count").alias("n")).filter("n > 1").select("component", "first")
+    marked = grouped.join(_limited(checkpointed(first)), "component")
+    goes = (F.col("first.id") != F.col("id")) | (F.col("first.node") != F.col("node"))
+    marks = checkpointed(marked.withColumn("goes", goes).filter("goes or count > 1").select("id", "node", "goes"))
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("long"), least).alias("id"), text_id("text").alias("node"))
+    joined = packed.join(_limited(marks), ["id", "node"], "left")
+    single = joined.filter("goes is null").select("row")
+    if not marks.filter("not goes").isEmpty():
+        chosen = joined.filter("not goes").groupBy("id", "node").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+        single = single.union(chosen.select("row"))
+    return single.select("row.*")

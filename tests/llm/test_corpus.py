@@ -336,31 +336,58 @@ def test_near_dedup_of_crowded_buckets_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert len(set(groups.values())) == 150
     assert {r.doc_id for r in simhash.near_dedup(df).collect()} == set(groups.values())
-    # the same in several blocks
+    # the same with groups split by their rarest shingles, and in blocks
     monkeypatch.setattr(simhash, "BLOCK_WORDS", 10_000)
     assert {r.doc_id for r in simhash.near_dedup(df).collect()} == set(groups.values())
 
 
+def test_near_dedup_of_a_split_crowd_equals_brute_force(spark, monkeypatch):
+    texts = dict(enumerate(edited_copies(300, 5) + same_words(40, 6)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 20)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 10)
+    assert {r.doc_id for r in simhash.near_dedup(df).collect()} == set(jaccard_groups(texts).values())
+
+
+def test_near_dedup_of_a_large_crowd_loses_no_link(spark):
+    texts = edited_copies(6000, 7)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_dedup(df).collect()}
+    assert kept == set(brute_force_groups(texts).values())
+
+
 def edited_copies(n, seed):
     """Copies of one text with 0 to 12 words changed: some similar to each other, some to none."""
     rng, base = np.random.default_rng(seed), [f"b{k}" for k in range(120)]
     return [" ".join(f"e{rng.integers(3)}-{k}" if k in at else w for k, w in enumerate(base)) for at in (set(rng.integers(0, 120, rng.integers(0, 13)).tolist()) for _ in range(n))]
 
 
-@pytest.mark.parametrize("texts", [edited_copies(2500, 3), same_words(1250, 4), ["", " ", "a b c", "  ", "a b c d e f"]], ids=["edited copies", "same words", "short"])
-def test_crossing_links_equal_brute_force(texts):
+def near_texts(texts):
+    """(shingle sets, the texts at a similarity of 0.8 of each), by comparing all with all."""
     sets = [np.unique(simhash.shingle_hashes(simhash.words_of(t.encode()), simhash.SHINGLE)) for t in texts]
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.array([len(s) for s in sets])
-    member = np.repeat(np.arange(len(sets)), size)
-    near = {k: {k} for k in range(len(sets))}
-    has = np.zeros(token.max() + 1, np.int64)
+    size = np.array([len(s) for s in sets], np.int32)
+    start = np.r_[0, np.cumsum(size)]
+    full = np.flatnonzero(size)
+    has = np.zeros(token.max() + 1, np.int16)
+    near = {}
     for x in range(len(sets)):
-        has[token[member == x]] = 1
-        both = np.bincount(member, has[token], len(sets))
-        has[:] = 0
-        near[x].update(np.flatnonzero((both >= 0.8 * (size + size[x] - both) - 1e-9)).tolist())
-    table = simhash.pa.table({"i": [0] * len(sets), "j": [0] * len(sets), "own": simhash.pa.array([0] * len(sets), "int32"), "component": [f"{k:04}" for k in range(len(sets))], "shingles": [s.tobytes() for s in sets]})
+        has[token[start[x] : start[x + 1]]] = 1
+        both = np.zeros(len(sets), np.int32)
+        both[full] = np.add.reduceat(has[token], start[full])
+        has[token[start[x] : start[x + 1]]] = 0
+        near[x] = {x, *np.flatnonzero(both >= 0.8 * (size + size[x] - both) - 1e-9).tolist()}
+    return sets, near
+
+
+def brute_force_groups(texts):
+    return reached(near_texts(texts)[1])
+
+
+@pytest.mark.parametrize("texts", [edited_copies(2500, 3), same_words(1250, 4), ["", " ", "a b c", "  ", "a b c d e f"]], ids=["edited copies", "same words", "short"])
+def test_crossing_links_equal_brute_force(texts):
+    sets, near = near_texts(texts)
+    table = simhash.pa.table({"home": [True] * len(sets), "component": [f"{k:04}" for k in range(len(sets))], "shingles": [s.tobytes() for s in sets]})
     links = simhash._crossing_links(table)
     found = {k: {k} for k in range(len(sets))}
     for u, v in zip(links["u"].to_pylist(), links["v"].to_pylist(), strict=True):
