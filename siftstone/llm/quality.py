@@ -7,12 +7,12 @@ passages of a document, and the weighted sum gives the score. Only document
 labels are learned from, so the attention finds by itself which passages decide.
 
 The model is trained on the driver from at most SAMPLE labelled documents, those
-with the least hash of doc_id; their features are computed on the executors, and
-only these come to the driver. Scoring reads each document once, without a shuffle.
+with the least hash of doc_id, of rows with one id one; their features are computed on the executors, and
+only these come to the driver. Scoring reads each document once, without a shuffle. Texts of any length are read whole, passage by passage.
 
 A null text counts as empty: one empty passage, which gets a score as well. Labels
 that are null are left out; with labels of one kind only, or none, every score is the
-share of good ones (1 without any). Extra columns are left out.
+share of good ones (1 without any). Repeated rows get equal scores; an empty table gives no rows. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -137,10 +137,15 @@ class AttentionMIL:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
-    """(text, y) of at most `sample` labelled documents, none of them held out."""
+    """(_id, text, y) of at most `sample` labelled documents, none of them held out.
+
+    One row an id, however often it stands in either table: the least label, then the least text.
+    """
     some = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("y")).filter(F.col("_id").isNotNull() & F.col("y").isNotNull() & ~held_out("_id"))
-    chosen = some.join(docs.select(F.col("doc_id").cast("long").alias("_id")), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "y")
+    known = docs.select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    chosen = some.groupBy("_id").agg(F.min("y").alias("y")).join(known, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min(F.struct("y", "text")).alias("m")).select("_id", "m.text", "m.y")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> AttentionMIL:
