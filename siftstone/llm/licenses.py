@@ -9,7 +9,7 @@ priority so does one that lies within another. The base phrases are rules too, b
 nothing suppresses them.
 
 A null text counts as empty: no words, no labels, score 0. Repeated rows give
-repeated results; extra columns are left out.
+repeated results; an empty table gives no rows. Texts of any length are scanned whole. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -157,8 +157,8 @@ def rules() -> tuple[Rule, ...]:
             for v in versions:
                 full = label if label in ("bsl",) and v == "1" else f"{label}-{_dotted(v)}"
                 out.append((full, keyword, f"{name}(?: v| version| v ?|) ?{v}(?: or (?:any )?(?:later|newer)(?: version)?)?", 1, weight))
-            if len(name) > 4:
-                out.append((label, keyword, name, 3, weight - 0.2))
+            # a short name alone says less
+            out.append((label, keyword, name, 3, weight - (0.2 if len(name) > 4 else 0.4)))
     for ident, short, words in CC_PARTS:
         for v in CC_VERSIONS:
             out.append((f"cc-{ident}-{_dotted(v)}", "cc by", f"cc {short} {v}", 1, 1.0))
@@ -244,8 +244,7 @@ def scan_text(text: bytes) -> tuple:
         miss *= 1.0 - min(rule.weight, 0.95)
         if miss < 1e-12:
             break
-    for _ in base[:16]:
-        miss *= 0.5
+    miss *= 0.5 ** len(base)
     places = [p for p, _ in base]
     base_labels = {label for _, label in base}
     spans, number, counted = [], 0, 0
