@@ -6,11 +6,12 @@ inner nodes hold the minimum of (rank, position); the root is the leftmost pair
 lowest rank. A merge changes three leaves (the pair itself, the one before, the
 one it swallows) and the paths above them, so a pre-token of n bytes takes
 O(n log n) steps. The trees of many pre-tokens of one size class are held as
-one array and step together.
+one array and step together; those of a class of few pre-tokens, such as one very long word, are
+stepped one by one on lists.
 
 Results are defined for every input: a null text counts as empty; an empty text
 has no ids, and the sha256 of the empty string twice. Repeated rows give
-repeated results; other columns, whatever their names, are left out.
+repeated results; texts of any length are encoded whole; an empty table gives no rows. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from siftstone.llm.pairs import PairTable
 
 #: Unicode's White_Space characters, as the pattern's \s has them. Fixed values.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Encoded runs that a worker keeps, twice: those met lately, and those met in the time before.
-KEPT = 60_000
+#: Encoded runs that a worker keeps, twice: those met lately, and those met in the time before; none of more characters than LONGEST.
+KEPT, LONGEST = 60_000, 128
+#: Pre-tokens of a size class that are merged one by one.
+FEW = 8
 _NONE = np.int64(1) << np.int64(62)
 
 
@@ -67,6 +70,7 @@ class SegmentTreeBPE:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(i)
         self.pairs = PairTable(left, right, merged, int(_NONE))
+        self._rank_of: dict[int, int] | None = None
         self.seen: dict[str, tuple[bytes, bytes]] = {}
         self.before: dict[str, tuple[bytes, bytes]] = {}
 
@@ -77,6 +81,10 @@ class SegmentTreeBPE:
         classes = np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 1)))).astype(int)
         for c in np.unique(classes) if len(words) else ():
             rows = np.flatnonzero(classes == c)
+            if len(rows) <= FEW:
+                for i in rows:
+                    out[i] = self._merge_one(words[i], 1 << int(c))
+                continue
             step = max(1, (1 << 17) >> int(c))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
@@ -84,6 +92,55 @@ class SegmentTreeBPE:
                     out[i] = ids
         return out
 
+    def _merge_one(self, word: bytes, width: int) -> np.ndarray:
+        """The same steps for a single pre-token, on lists."""
+        n, none = len(word), int(_NONE)
+        rank = self.rank_of().get
+        ids = [self.ids_of_bytes[b] for b in word]
+        follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [none] * (2 * width)
+        for at in range(n - 1):
+            r = rank(ids[at] << 32 | ids[at + 1])
+            if r is not None:
+                tree[width + at] = r * width + at
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(at: int, value: int) -> None:
+            node = width + at
+            tree[node] = value
+            while node > 1:
+                low = min(value, tree[node ^ 1])
+                node >>= 1
+                if tree[node] == low:
+                    return
+                tree[node] = value = low
+
+        while tree[1] < none:
+            at = tree[1] & (width - 1)
+            ids[at] = tree[1] // width
+            gone = follow[at]
+            after, prior = follow[gone], before[at]
+            follow[at], ids[gone] = after, -1
+            put(gone, none)
+            r = None
+            if after < n:
+                before[after] = at
+                r = rank(ids[at] << 32 | ids[after])
+            put(at, none if r is None else r * width + at)
+            if prior >= 0:
+                r = rank(ids[prior] << 32 | ids[at])
+                put(prior, none if r is None else r * width + prior)
+        return np.array([i for i in ids if i >= 0], np.int64)
+
+    def rank_of(self) -> dict[int, int]:
+        """The pairs and their ranks as a dictionary, made when first asked for."""
+        if self._rank_of is None:
+            used = self.pairs.values < _NONE
+            self._rank_of = dict(zip(self.pairs.keys[used].tolist(), self.pairs.values[used].tolist(), strict=True))
+            self.ids_of_bytes = self.byte.tolist()
+        return self._rank_of
+
     def _merge_class(self, words, lengths, width):
         n = len(words)
         cells = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8)
@@ -168,6 +225,9 @@ class SegmentTreeBPE:
         for runs in split:
             got = list(map(self.seen.__getitem__, runs))
             out.append((b",".join([g[0] for g in got]), np.frombuffer(b"".join([g[1] for g in got]), "<u4")))
+        for run in new:
+            if len(run) > LONGEST:
+                del self.seen[run]
         return out
 
     def decode(self, ids) -> bytes:
@@ -180,7 +240,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: what encoding its text and decoding the ids gives.
 
-    No shuffle; a worker holds one batch of texts and some 2 * KEPT encoded runs.
+    No shuffle; a worker holds one batch of texts and some 2 * KEPT encoded runs of LONGEST characters at most.
     """
 
     def run(batches):

@@ -17,12 +17,13 @@ Code lengths come from the counts of all ids of the corpus, limited to 17 bits b
 the package-merge method; canonical codes need no more than the lengths.
 
 A null text counts as empty; each document ends with id 1, so that an empty one
-has one id. Null doc_ids come first; repeated ids keep together. An empty table
-gives no rows. Extra columns are left out.
+has one id. Null doc_ids come first; repeated doc_ids keep together, in the order of a hash of their ids. Texts of any length are encoded
+whole. An empty table gives no rows. Extra columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -41,8 +42,11 @@ END = 1
 LIMIT = 17
 EVERY = 128
 BLOCK = 262_144
-#: Encoded chunks, and words, that a worker keeps, twice: those met lately, and those met in the time before.
-KEPT = 250_000
+#: Encoded chunks, and words, that a worker keeps, twice: those met lately, and those met in the time before; none of more bytes than LONGEST.
+KEPT, LONGEST = 250_000, 128
+#: The splitting that `ChunkEncoder` does itself; a tokenizer with any other goes through the library as it is. Fixed values.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def byte_characters() -> dict[int, str]:
@@ -79,7 +83,14 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are stored in 16 bits; this vocabulary has more")
+        settings = json.loads(self.tokenizer.to_str())
+        steps = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         added = sorted(self.tokenizer.get_added_tokens_decoder().items())
+        self.known = bool(added) and settings["normalizer"] == KNOWN_NORMALIZER and settings["post_processor"] is None and settings["truncation"] is None and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": KNOWN_PATTERN} and not steps[1]["add_prefix_space"]
+        if not self.known:
+            return
         self.part = added[-1][1].content
         self.part_id = added[-1][0]
         self.special = [a.content.encode() for _, a in added]
@@ -99,7 +110,8 @@ class ChunkEncoder:
         if ids is None:
             shown = word if word.isascii() else "".join(map(self.bytes.__getitem__, word.encode()))
             ids = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        self.words[word] = ids
+        if len(word) <= LONGEST:
+            self.words[word] = ids
         return ids
 
     def _learn(self, chunks: set[bytes]) -> None:
@@ -134,6 +146,8 @@ class ChunkEncoder:
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
+        if not self.known:
+            return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         out = [self._plain(t) for t in texts]
         other = [k for k, ids in enumerate(out) if ids is None]
         split = [texts[k].split() for k in other]
@@ -145,6 +159,9 @@ class ChunkEncoder:
         self._learn(new.difference(self.seen))
         for k, chunks in zip(other, split, strict=True):
             out[k] = b"".join(map(self.seen.__getitem__, chunks))
+        for c in new:
+            if len(c) > LONGEST:
+                del self.seen[c]
         return out
 
 
@@ -300,7 +317,9 @@ def write_ids(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield block_of(docs, ids)
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = tokens.repartitionByRange(width, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(run, BLOCKS)
+    # rows of one id, null or not, may be any number: a hash of the ids parts them
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
+    blocks = tokens.repartitionByRange(width, *order).sortWithinPartitions(*order, "ids").mapInArrow(run, BLOCKS)
     return book, stored(blocks, "id-blocks")
 
 

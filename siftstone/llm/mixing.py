@@ -17,7 +17,7 @@ ordered.
 
 Null texts count as empty, size 0; a null source is a source. Where all sizes are
 0, targets and taken words are 0. Rows with equal ids keep apart by their text;
-rows equal in both are taken alike in order. Extra columns are left out of the
+rows equal in both are taken alike in order. Texts of any length are counted whole; an empty table gives no rows. Extra columns are left out of the
 digest, and kept by `mixture`.
 """
 
@@ -32,6 +32,8 @@ from siftstone.llm.common import checkpointed, give_back, small_batches
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = 42
+#: Sources at most: their totals meet on the driver.
+SOURCES = 500_000
 #: Hexadecimal digits of the hash that name its range.
 DIGITS = 3
 
@@ -68,11 +70,14 @@ def water_fill(sizes: list[int], weights: list[int], epochs: int = EPOCHS) -> li
 def source_plan(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """One row per source: source, source_size, target, whole (repetitions), part (words of the partial one).
 
-    The list of sources is configuration, like their weights: it is small, and its
-    totals come to the driver.
+    The list of sources is configuration, like their weights: its totals come to the
+    driver and the plan is broadcast. More than SOURCES of them raise an error.
     """
     spark = sized.sparkSession
-    rows = [(r["source"], r["n"] or 0) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    totals = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("n")))
+    if totals.limit(SOURCES + 1).count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    rows = [(r["source"], r["n"] or 0) for r in totals.collect()]
     rows.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be", "surrogatepass")))
     plan = []
     for (source, n), (top, below) in zip(rows, water_fill([n for _, n in rows], [weights[k % len(weights)] for k in range(len(rows))], epochs), strict=True):

@@ -9,7 +9,8 @@ gives the order in which a queue of (rank, place) would merge.
 Symbols that no piece covers count as their UTF-8 bytes.
 
 A null text counts as empty and has 0 bytes and 0 tokens. Other columns,
-whatever their names, are left out; repeated rows give repeated results.
+whatever their names, are left out; repeated rows give repeated results. Texts of any length
+are counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from siftstone.llm.pairs import PairTable
 
 #: The mark that stands for a space in the model's pieces. Fixed value.
 MARK = "▁"
-#: Counted pre-tokens kept by a worker; beyond it the memory starts anew.
-KEPT = 1_000_000
+#: Counted pre-tokens kept by a worker, none of more characters than LONGEST; beyond it the memory starts anew.
+KEPT, LONGEST = 1_000_000, 64
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -161,7 +162,11 @@ class RankSynchronousCounter:
             for k in range(0, len(new), 20_000):
                 part = new[k : k + 20_000]
                 self.seen.update(zip(part, self.count([w if w[:1] == MARK else MARK + w for w in part]).tolist(), strict=True))
-        return [sum(map(self.seen.__getitem__, words)) for words in split]
+        out = [sum(map(self.seen.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > LONGEST:
+                del self.seen[word]
+        return out
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:

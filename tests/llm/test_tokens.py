@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import json
+import time
 import zlib
 
 import numpy as np
@@ -48,6 +50,55 @@ def test_long_runs(libraries):
         assert tokencount.RankSynchronousCounter.shared(PIECE).count_batch([text]) == [len(piece.encode(text))]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=200), min_size=1, max_size=4), st.sampled_from(["abcdefgh", "aab", "thean", "é漢a"]), st.integers(0, 2**32 - 1))
+def test_trees_on_lists_equal_trees_on_arrays(libraries, raw, letters, seed):
+    coder = bpe.SegmentTreeBPE.shared(BPE, P.PATTERN)
+    rng = np.random.default_rng(seed)
+    words = [*raw, *("".join(rng.choice(list(letters), rng.integers(1, 300))).encode() for _ in range(3))]
+    for w in words:
+        width = 1 << max(1, (len(w) - 1).bit_length())
+        (one,) = coder._merge_class([w], np.array([len(w)]), width)
+        assert coder._merge_one(w, width).tolist() == one.tolist()
+
+
+def test_one_very_long_word(libraries):
+    tik, word, piece = libraries
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("etaoinshrdlu"), 40_000))
+    began = time.time()
+    assert bpe.SegmentTreeBPE.shared(BPE, P.PATTERN).encode_batch([text])[0][1].tolist() == tik.encode_ordinary(text)
+    assert time.time() - began < 20
+    coder = bpe.SegmentTreeBPE.shared(BPE, P.PATTERN)
+    counter = tokencount.RankSynchronousCounter.shared(PIECE)
+    assert counter.count_batch([text]) == [len(piece.encode(text))]
+    (packed,) = huffman.ChunkEncoder.shared(WORD).encode_batch([text.encode()])
+    assert np.frombuffer(packed, "<u2").tolist() == word.encode(text, add_special_tokens=False).ids
+    # workers keep no such word
+    chunks = huffman.ChunkEncoder.shared(WORD)
+    assert max(map(len, [*coder.seen, *counter.seen, *chunks.seen, *chunks.words])) <= 128
+
+
+def test_another_tokenizer_goes_through_its_library(tmp_path, libraries):
+    made = json.loads(libraries[1].to_str())
+    made["normalizer"] = None  # keeps upper case
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    texts = ["Hello World it's", "don't ABC 12", ""]
+    other = Tokenizer.from_file(str(path))
+    got = huffman.ChunkEncoder(str(path)).encode_batch([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+    assert huffman.ChunkEncoder.shared(WORD).known
+
+
+def test_rows_of_one_id_are_dealt_and_keep_together(spark):
+    rows = [(3 if k % 2 else None, f"text number {k % 7}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = huffman.write_and_read(df, WORD).orderBy("start").collect()
+    assert [r.doc_id for r in out] == [None] * 200 + [3] * 200
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:], strict=False))
+
+
 def test_caches_turn_over(libraries, monkeypatch):
     tik = libraries[0]
     monkeypatch.setattr(bpe, "KEPT", 3)
