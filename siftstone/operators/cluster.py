@@ -4,29 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators import ranking
 from siftstone.operators.graph import checkpointed, connected_components
 
 
+#: Centroids that one task merges, and rows of a group whose order decides, at most.
+MERGED, GROUP = 2000, 20_000
+
+
+def bounded(n: int) -> None:
+    if n > GROUP:
+        raise ValueError(f"a group of {n} rows is one task's work here, {GROUP} at most")
+
+
 def numbered(components: DataFrame) -> DataFrame:
     """Components (id, component) with cluster numbers from 0, in the order of their least ids."""
     first = components.groupBy("component").agg(F.min("id").alias("first"))
-    # one row per cluster: a running number over them
-    numbers = first.withColumn("cluster", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
+    numbers = ranking.global_index(first, [F.asc("first")], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
     return components.join(numbers.select("component", "cluster"), "component").select("id", "cluster")
 
 
-def dbscan(ids: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
-    """(id, cluster) of all `ids`; -1 is noise. pairs (a, b) are the neighbours.
+def dbscan(classes: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
+    """(id, cluster) of all classes (id, n) of n equal rows; -1 is noise. pairs (a, b) are the neighbours.
 
-    A core row has min_samples - 1 neighbours or more; clusters are components of core
+    A core row has min_samples - 1 neighbours or more, those of its class included; clusters are components of core
     rows, and a border row joins the lowest-numbered cluster among its core neighbours.
     """
     pairs = checkpointed(pairs.select("a", "b"))
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    core = both.groupBy("id").count().filter(F.col("count") + 1 >= min_samples).select("id")
+    ids = classes.select("id")
+    around = both.join(classes.select(F.col("id").alias("other"), "n"), "other").groupBy("id").agg(F.sum("n").alias("around"))
+    core = classes.join(around, "id", "left").filter(F.col("n") + F.coalesce("around", F.lit(0)) >= min_samples).select("id")
     core_pairs = pairs.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi")
     linked = connected_components(core_pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
     labelled = core.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -39,7 +50,10 @@ def merge_centroids(rows: DataFrame, limit: float) -> DataFrame:
     """(cluster, merged): repeatedly merge the two nearest centroids below `limit`; the lower number stays.
 
     rows (cluster, centroid, n) are one per cluster; the order of merges decides, so they are one task's work.
+    More than MERGED clusters raise an error.
     """
+    if rows.limit(MERGED + 1).count() > MERGED:
+        raise ValueError(f"centroids merge in one task, {MERGED} at most")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cluster")
@@ -64,10 +78,11 @@ def merge_centroids(rows: DataFrame, limit: float) -> DataFrame:
 def clique_split(members: DataFrame, limit: float) -> DataFrame:
     """(component, id, clique): in order of id, a row joins the first clique all of whose members are within `limit`.
 
-    Order decides within a component; components are small groups of near rows.
+    Order decides within a component, so that is one task's work; a component of more than GROUP rows raises an error.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bounded(len(pdf))
         pdf = pdf.sort_values("id")
         v = np.array(pdf.v.tolist(), np.float64)
         v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
@@ -88,9 +103,13 @@ def clique_split(members: DataFrame, limit: float) -> DataFrame:
 
 
 def recluster(members: DataFrame, eps: float, largest: int, shrink: float = 0.62, floor: float = 0.012, depth: int = 8) -> DataFrame:
-    """(component, id, part): groups of over `largest` rows split at ever smaller eps, at last in chunks by id."""
+    """(component, id, part): groups of over `largest` rows split at ever smaller eps, at last in chunks by id.
+
+    A component's distances are one task's matrix; one of more than GROUP rows raises an error.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bounded(len(pdf))
         pdf = pdf.sort_values("id").reset_index(drop=True)
         v = np.array(pdf.v.tolist(), np.float64)
         v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]

@@ -19,6 +19,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a dimension that is broadcast at most.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if its rows, counted here, are few; else the join shuffles."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link a node's neighbours to the least of them.
 

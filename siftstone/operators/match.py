@@ -8,9 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import vectors as vec
+from siftstone.operators.graph import checkpointed, small
 
-#: Vectors of a block when all pairs are compared.
-BLOCK = 1024
+#: Vectors of a block when all pairs are compared, and rows of it that one matrix product takes.
+BLOCK, STRIP = 8192, 512
+#: Targets that are broadcast at most.
+TARGETS = 4096
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    v = np.array(column.to_pylist(), np.float64)
+    size = np.sqrt((v * v).sum(1))
+    return v / np.where(size > 0, size, 1.0)[:, None]
 
 
 def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = None, unit: bool = True) -> DataFrame:
@@ -25,52 +34,121 @@ def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = No
     return rows.withColumn("centroid", vec.normalise(F.col("centroid"))) if unit else rows
 
 
-def candidates(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each row (id, v) with the cosine distance to each target (tid, t); targets are a small dimension, such as centroids."""
-    return rows.join(F.broadcast(targets), F.lit(True)).withColumn("dist", vec.cosine_distance(F.col("v"), F.col("t")))
+def _best(rows: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(id, place, tid, dist): each row's k nearest targets (place from 1), ties to the least tid.
+
+    rows (id, v) meet targets (tid, t) by a broadcast if the targets, counted first, are few. Else both are dealt over a grid of
+    blocks, where each task keeps its rows' k nearest: memory is bounded, and k rows leave a block for each row.
+    """
+    targets = checkpointed(targets.select("tid", F.col("t").cast("array<double>").alias("t")))
+    n = targets.count()
+    if n <= TARGETS:
+        met = rows.join(F.broadcast(targets), F.lit(True)).select("id", "tid", vec.cosine_distance(F.col("v"), F.col("t")).alias("dist"))
+    else:
+        kind = dict(targets.dtypes)["tid"], dict(rows.dtypes)["id"]
+        wide, high = -(-n // BLOCK), max(1, -(-rows.count() // BLOCK))
+        deal = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+        across = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        left = rows.select("id", F.col("v").cast("array<double>").alias("v"), deal("id", high).alias("i"), across(wide).alias("j"))
+        right = targets.select("tid", "t", across(high).alias("i"), deal("tid", wide).alias("j"))
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not len(a) or not len(b):
+                return pa.table({"id": a.column("id").slice(0, 0), "tid": b.column("tid").slice(0, 0), "dist": pa.array([], pa.float64())})
+            b = b.sort_by("tid")
+            x, y = _unit(a.column("v")), _unit(b.column("t"))
+            at, found, dist = [], [], []
+            for s in range(0, len(x), STRIP):
+                d = 1.0 - x[s : s + STRIP] @ y.T
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                at.append(np.repeat(np.arange(s, s + len(d)), order.shape[1]))
+                found.append(order.ravel())
+                dist.append(np.take_along_axis(d, order, 1).ravel())
+            return pa.table({"id": a.column("id").take(pa.array(np.concatenate(at))), "tid": b.column("tid").take(pa.array(np.concatenate(found))), "dist": np.concatenate(dist)})
+
+        met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, f"id {kind[1]}, tid {kind[0]}, dist double")
+    if k == 1:
+        return met.groupBy("id").agg(F.min(F.struct("dist", "tid")).alias("m")).select("id", F.lit(1).alias("place"), "m.tid", "m.dist")
+    order = Window.partitionBy("id").orderBy("dist", "tid")
+    return met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("id", "place", "tid", "dist")
 
 
 def nearest(rows: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
     """(id, tid, dist) of each row's nearest target within `limit`; ties go to the least tid."""
-    best = candidates(rows, targets).groupBy("id").agg(F.min(F.struct("dist", "tid")).alias("m"))
-    return best.select("id", "m.tid", "m.dist").filter(F.col("dist") <= limit)
+    return _best(rows, targets, 1).select("id", "tid", "dist").filter(F.col("dist") <= limit)
 
 
 def top_two(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, tid, dist, margin): the nearest target and by how much it is nearer than the second (null without one)."""
-    order = Window.partitionBy("id").orderBy("dist", "tid")
-    ranked = candidates(rows, targets).withColumn("rn", F.row_number().over(order)).filter("rn <= 2")
-    two = ranked.groupBy("id").agg(F.min_by("tid", "rn").alias("tid"), F.min("dist").alias("dist"), F.max(F.when(F.col("rn") == 2, F.col("dist"))).alias("second"))
+    two = _best(rows, targets, 2).groupBy("id").agg(F.min_by("tid", "place").alias("tid"), F.min("dist").alias("dist"), F.max(F.when(F.col("place") == 2, F.col("dist"))).alias("second"))
     return two.withColumn("margin", F.col("second") - F.col("dist")).drop("second")
 
 
-def vector_pairs(df: DataFrame, limit: float) -> DataFrame:
-    """(a, b, dist), a < b, of all rows (id, v) at cosine distance `limit` or less.
+def propagate(rows: DataFrame, known: DataFrame, limit: float, margin: float, least: int = 5, passes: int = 5) -> DataFrame:
+    """(id, label, pass): labels that spread from `known` (id, label, v) to rows (id, v), pass by pass.
 
-    Rows are dealt over blocks; each pair of blocks is one task's matrix product, and
-    only pairs within the limit leave it. Exact; work is quadratic, memory bounded.
+    Each pass takes unit mean vectors of the labels with `least` examples or more, gives a row its nearest
+    label if it is within `limit` and nearer than the second by `margin`, and counts what it assigned among
+    the examples of the next. It ends with a pass that assigns nothing, or after `passes`.
+    """
+    out = None
+    for k in range(1, passes + 1):
+        fit = centroids(known, "label", "v").filter(F.col("n") >= least).select(F.col("label").alias("tid"), F.col("centroid").alias("t"))
+        got = checkpointed(top_two(rows, fit).filter((F.col("dist") <= limit) & (F.col("margin") >= margin)).select("id", F.col("tid").alias("label")))
+        step = got.withColumn("pass", F.lit(k))
+        out = step if out is None else out.unionByName(step)
+        if got.isEmpty():
+            break
+        known = checkpointed(known.select("id", "label", "v").unionByName(rows.join(got, "id").select("id", "label", "v")))
+        rows = checkpointed(rows.join(got.select("id"), "id", "left_anti"))
+    return out
+
+
+def vector_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): members (id, class) of rows (id, v), and classes (id, v, n) of equal vectors, named by their least id."""
+    rows = df.select("id", F.col("v").cast("array<double>").alias("v"))
+    classes = checkpointed(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    members = rows.join(classes.select("v", F.col("id").alias("class")), "v").select("id", "class")
+    return members, classes.select("id", "v", "n")
+
+
+def vector_pairs(df: DataFrame, limit: float, by: list[str] | None = None) -> DataFrame:
+    """(a, b, dist), a < b, of all rows (id, v) at cosine distance `limit` or less; of equal columns `by` only.
+
+    Rows are dealt over blocks; each pair of blocks is one task's matrix products, strip by strip, and
+    only pairs within the limit leave it. Exact; work is quadratic in rows of equal `by`, memory bounded. A row travels once for each
+    BLOCK rows. Where equal vectors are many, pairs of `vector_classes` do.
     """
-    blocks = max(1, -(-df.count() // BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = df.select("id", F.col("v").cast("array<double>").alias("v"), own.alias("own"), other.alias("other"))
-    dealt = dealt.select("id", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+    by = by or []
+    rows = df.select(*by, "id", F.col("v").cast("array<double>").alias("v"))
+    if by:
+        sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(small(sizes), by)
+    else:
+        rows = rows.withColumn("blocks", F.lit(max(1, -(-df.count() // BLOCK))))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.select(*by, "id", "v", own.alias("own"), other.alias("other"))
+    dealt = dealt.select(*by, "id", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
 
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy()
-        v = np.array(t.column("v").to_pylist(), np.float64)
-        size = np.sqrt((v * v).sum(1))
-        unit = v / np.where(size > 0, size, 1.0)[:, None]
+        unit = _unit(t.column("v"))
         left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
-        dist = 1.0 - unit[left] @ unit[right].T
-        at, bt = np.nonzero(dist <= limit + 1e-9)
-        a, b = ids[left[at]], ids[right[bt]]
-        exact = 1.0 - (unit[left[at]] * unit[right[bt]]).sum(1)
-        keep = (a != b) & (exact <= limit)
-        lo, hi = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-        return pa.table({"a": lo, "b": hi, "dist": exact[keep]})
-
-    return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, dist double").dropDuplicates(["a", "b"])
+        alone = len(left) == len(right) == len(ids)  # a block with itself
+        lo, hi, far = [], [], []
+        for s in range(0, len(left), STRIP):
+            some = left[s : s + STRIP]
+            at, bt = np.nonzero(1.0 - unit[some] @ unit[right].T <= limit + 1e-9)
+            a, b = some[at], right[bt]
+            exact = 1.0 - (unit[a] * unit[b]).sum(1)
+            keep = (exact <= limit) & (ids[a] < ids[b] if alone else ids[a] != ids[b])
+            lo.append(np.minimum(ids[a], ids[b])[keep])
+            hi.append(np.maximum(ids[a], ids[b])[keep])
+            far.append(exact[keep])
+        return pa.table({"a": np.concatenate([*lo, np.zeros(0, np.int64)]), "b": np.concatenate([*hi, np.zeros(0, np.int64)]), "dist": np.concatenate([*far, np.zeros(0)])})
+
+    return dealt.groupBy(*by, "i", "j").applyInArrow(run, "a long, b long, dist double")
 
 
 def use_once(matches: DataFrame) -> DataFrame:

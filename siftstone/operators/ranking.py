@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftstone.operators.graph import checkpointed, small
+
 
 def most_common(df: DataFrame, group: str, value: str, position: str, k: int) -> DataFrame:
     """(group, top): the k most common values as value=count, ties to the one seen first."""
@@ -27,14 +29,15 @@ def rank_percentiles(df: DataFrame, group: str, x: str, ranks: dict[str, tuple[i
 def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows numbered from 0 in a total order, by a range partitioning.
 
-    Each partition numbers its rows; partitions' counts (one row each) give where each begins.
+    Each partition numbers its rows; partitions' counts (one row each) give where each begins. The ranges
+    come from a sample, which another execution would draw anew: so the numbered rows are written once, and both are read from there.
     """
     spark = df.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parted = df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     # the id holds the partition in its upper bits and the row in the lower 33
     part, row = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = parted.select(*df.columns, part.alias("_part"), row.alias("_row"))
+    numbered = checkpointed(parted.select(*df.columns, part.alias("_part"), row.alias("_row")))
     counts = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = [], 0
     for p in sorted(counts):
@@ -46,6 +49,15 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return numbered.join(F.broadcast(begin), "_part").select(*df.columns, (F.col("_start") + F.col("_row")).alias(name))
 
 
+def group_index(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 0 in order within each group, however many rows a group has: a global order by group, less where the group begins."""
+    numbered = global_index(df, [*[F.asc(g) for g in group], *order], "_at")
+    begin = numbered.groupBy(*group).agg(F.min("_at").alias("_begin"))
+    on = [F.col(f"_n.{g}").eqNullSafe(F.col(f"_b.{g}")) for g in group]
+    joined = numbered.alias("_n").join(small(begin).alias("_b"), on)
+    return joined.select(*[F.col(f"_n.{c}").alias(c) for c in df.columns], (F.col("_at") - F.col("_begin")).alias(name))
+
+
 def best(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """(doc_id, rank) of the first k rows of a total order; only k rows are ever numbered."""
     top = df.orderBy(*order).limit(k)
@@ -54,8 +66,8 @@ def best(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 def collision_suffix(df: DataFrame, dest: str, order: str, ext: str) -> DataFrame:
     """The second and further rows of one destination get __2, __3 ..."""
-    rn = F.row_number().over(Window.partitionBy(dest).orderBy(order))
-    return df.withColumn("_rn", rn).withColumn(dest, F.concat(F.col(dest), F.when(F.col("_rn") > 1, F.concat(F.lit("__"), F.col("_rn").cast("string"))).otherwise(""), F.lit(ext))).drop("_rn")
+    rn = F.col("_rn") + 1
+    return group_index(df, [dest], [F.asc(order)], "_rn").withColumn("_rn", rn).withColumn(dest, F.concat(F.col(dest), F.when(F.col("_rn") > 1, F.concat(F.lit("__"), F.col("_rn").cast("string"))).otherwise(""), F.lit(ext))).drop("_rn")
 
 
 def stride_sample(df: DataFrame, order: str, k: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators.graph import small
+
 
 def first_of(rules: list[tuple[Column, str]], default: str | None = None) -> Column:
     """The label of the first rule that holds."""
@@ -58,7 +60,7 @@ def classify_detections(rows: DataFrame, group: str, thresholds: DataFrame, over
     rows (group, class, score); thresholds (class, threshold) is a small dimension. At the greater of
     the overall and the class's threshold a detection is "possible", below it `uncertain`.
     """
-    listed = rows.join(F.broadcast(thresholds), "class")
+    listed = rows.join(small(thresholds), "class")
     best = listed.groupBy(group).agg(F.max_by(F.struct("class", "score", "threshold"), F.struct("score", "class")).alias("b"))
     verdict = F.when(F.col("b.score") >= F.greatest(F.lit(overall), F.col("b.threshold")), "possible").otherwise(uncertain)
     return best.select(group, "b.class", "b.score", verdict.alias("verdict"))

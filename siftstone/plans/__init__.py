@@ -1,3 +1,3 @@
 """The library's queries, by subject."""
 
-from siftstone.plans import aggregates, catalogue, fingerprints, scalars, snapshots, streams, vectors  # noqa: F401
+from siftstone.plans import aggregates, catalogue, fingerprints, operations, scalars, snapshots, streams, vectors  # noqa: F401

@@ -11,10 +11,10 @@ from siftstone.operators import ranking
 from siftstone.sources.tables import table
 
 
-@query("SELECT c.c_custkey AS entity, count(o.o_orderkey) AS n FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0) o ON o.o_custkey = c.c_custkey GROUP BY 1")
+@query("SELECT c.c_custkey AS entity, count(o.o_orderkey) AS n FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o.o_custkey = c.c_custkey GROUP BY 1")
 def entity_counts_with_zero(spark, d):
     """A1: every known entity appears, also with none."""
-    counts = table(spark, d, "orders").filter("o_orderstatus = 'F' and o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    counts = table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("entity")).join(counts, "entity", "left").select("entity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -47,12 +47,12 @@ def triage_clusters(spark, d):
 
 
 @query("""
-WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events WHERE event_id < 2000 GROUP BY ALL)
-SELECT user_id, arg_max(event_type, n * 1000000 - first) AS first_mode, max(lpad(n::VARCHAR, 6, '0') || event_type)[7:] AS last_mode FROM c GROUP BY 1
+WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL)
+SELECT user_id, arg_max(event_type, (n, -first)) AS first_mode, arg_max(event_type, (n, event_type)) AS last_mode FROM c GROUP BY 1
 """)
 def mode_ties(spark, d):
     """The most common value; ties to the first seen, or to the greatest name."""
-    c = table(spark, d, "events").filter("event_id < 2000").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    c = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
     return c.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", -F.col("first"))).alias("first_mode"), F.max_by("event_type", F.struct("n", "event_type")).alias("last_mode"))
 
 
@@ -163,8 +163,8 @@ def numbered_names(spark, d):
     """Numbering goes on from the highest index in use."""
     part = table(spark, d, "part")
     base = part.groupBy("p_brand").agg(F.max("p_size").alias("base"))
-    k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return part.select("p_partkey", "p_brand", k.alias("k")).join(base, "p_brand").select("p_partkey", tx.numbered(F.col("p_brand"), F.col("base") + F.col("k")).alias("name"))
+    rows = ranking.group_index(part.select("p_partkey", "p_brand"), ["p_brand"], [F.asc("p_partkey")], "i").withColumn("k", F.col("i") + 1)
+    return rows.join(base, "p_brand").select("p_partkey", tx.numbered(F.col("p_brand"), F.col("base") + F.col("k")).alias("name"))
 
 
 @query("WITH r AS (SELECT p_partkey, lower(p_brand) || '/' || p_size AS dest, row_number() OVER (PARTITION BY lower(p_brand) || '/' || p_size ORDER BY p_partkey) AS rn FROM part) SELECT p_partkey, dest || CASE WHEN rn > 1 THEN '__' || rn ELSE '' END || '.jpg' AS dest FROM r")
@@ -178,21 +178,21 @@ def counters_per_confidence(spark, d):
     """A running number for each confidence."""
     tier = F.when(F.col("n_chars") > 2000, "high").when(F.col("n_chars") > 1000, "medium").otherwise("low")
     rows = table(spark, d, "documents").select("doc_id", tier.alias("confidence"))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("confidence").orderBy("doc_id")).cast("long"))
+    return ranking.group_index(rows, ["confidence"], [F.asc("doc_id")], "i").select("doc_id", "confidence", (F.col("i") + 1).alias("k"))
 
 
 @query("WITH r AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 12 AS chunk FROM documents), c AS (SELECT *, count(*) OVER (PARTITION BY source, chunk) AS n FROM r) SELECT doc_id, source, chunk FROM c WHERE n >= 3")
 def chunk_fixed(spark, d):
     """Chunks of 12; those of under three go."""
-    k = F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 12)
-    rows = table(spark, d, "documents").select("doc_id", "source", k.alias("chunk"))
+    rows = ranking.group_index(table(spark, d, "documents").select("doc_id", "source"), ["source"], [F.asc("doc_id")], "i")
+    rows = rows.select("doc_id", "source", F.floor(F.col("i") / 12).alias("chunk"))
     return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source", "chunk"))).filter("n >= 3").drop("n")
 
 
-@query("WITH c AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) SELECT (SELECT count(*) FROM (SELECT doc_id FROM c ORDER BY doc_id LIMIT 100)) AS taken, greatest(0, (SELECT count(*) FROM c) - 100) AS deferred")
+@query("WITH c AS (SELECT doc_id FROM documents) SELECT (SELECT count(*) FROM (SELECT doc_id FROM c ORDER BY doc_id LIMIT 100)) AS taken, greatest(0, (SELECT count(*) FROM c) - 100) AS deferred")
 def cap_and_defer(spark, d):
     """So many items a run; the rest is counted as deferred."""
-    c = table(spark, d, "documents").filter("doc_id % 3 = 0").agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"))
     return c.select(F.least("n", F.lit(100)).alias("taken"), F.greatest(F.lit(0), F.col("n") - 100).alias("deferred"))
 
 
@@ -206,11 +206,11 @@ SELECT lang, doc_id, 'start' AS role, 1 AS place FROM st UNION ALL SELECT lang,
 def pack_builder(spark, d):
     """T5: of the largest groups a start, alternates, and rows that match it and are not used yet."""
     s = table(spark, d, "documents").select("lang", "doc_id", (F.col("n_chars") % 7).alias("attr"), F.pmod(F.col("doc_id") * 53, F.lit(1000)).alias("score"))
-    top = s.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(3)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id")
-    r = s.join(top, "lang").withColumn("rn", F.row_number().over(order))
+    top = s.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(3).select("lang")
+    r = ranking.group_index(s.join(F.broadcast(top), "lang"), ["lang"], [F.desc("score"), F.asc("doc_id")], "i").withColumn("rn", F.col("i") + 1)
     start = r.filter("rn = 1").select("lang", F.col("attr").alias("a"))
-    matched = r.filter("rn > 6").join(start, "lang").filter("attr = a").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rn"))).filter("place <= 12")
+    # twelve of each group at most: Spark cuts the window's input to them before its shuffle
+    matched = r.filter("rn > 6").join(F.broadcast(start), "lang").filter("attr = a").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rn"))).filter("place <= 12")
     rest = r.filter("rn <= 6").select("lang", "doc_id", F.when(F.col("rn") == 1, "start").otherwise("alternate").alias("role"), F.greatest(F.lit(1), F.col("rn") - 1).alias("place"))
     return rest.unionByName(matched.select("lang", "doc_id", F.lit("matched").alias("role"), "place")).withColumn("place", F.col("place").cast("long"))
 
@@ -234,11 +234,11 @@ def distinct_keep_first(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("SELECT user_id, event_type, count(*) AS n, count(*) - 1 AS excess FROM events WHERE event_id % 5 = 0 GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT user_id, event_type, count(*) AS n, count(*) - 1 AS excess FROM events GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, d):
     """Keys that occur more than once."""
     n = F.count(F.lit(1))
-    return table(spark, d, "events").filter("event_id % 5 = 0").groupBy("user_id", "event_type").agg(n.alias("n"), (n - 1).alias("excess")).filter("n > 1")
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(n.alias("n"), (n - 1).alias("excess")).filter("n > 1")
 
 
 @query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -261,8 +261,8 @@ def stride_sample(spark, d):
     return ranking.stride_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 50)
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def seeded_sample(spark, d):
     """A seeded random sample, if there are more rows than asked for."""
     docs = table(spark, d, "documents").select("doc_id")
-    return docs.orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(100)
+    return docs.orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id").limit(100)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftstone.catalog import query
 from siftstone.functions import text as tx
-from siftstone.operators import audit
+from siftstone.operators import audit, ranking
 from siftstone.sources import sinks
 from siftstone.sources.tables import excluded, table, tagged_union
 
@@ -59,11 +58,11 @@ def route_by_ext(spark, d):
     return _paths(spark, d).select("page_id", F.when(ext.isin("mp4", "mov", "avi"), "video").when(ext.isin("html", "htm", ""), "page").otherwise("other").alias("route"))
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.missing') AS INT), TRY_CAST(json_extract_string(props, '$.k') AS INT), -1) AS k FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.missing') AS INT), TRY_CAST(json_extract_string(props, '$.k') AS INT), -1) AS k FROM events")
 def decode_coalesce(spark, d):
     """The first decoder that gives a value."""
     field = lambda name: F.get_json_object("props", f"$.{name}").try_cast("int")
-    return table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", F.coalesce(field("missing"), field("k"), F.lit(-1)).alias("k"))
+    return table(spark, d, "events").select("event_id", F.coalesce(field("missing"), field("k"), F.lit(-1)).alias("k"))
 
 
 @query("SELECT page_id, CASE WHEN lower(html[1:9]) = '<!doctype' THEN 'doctype' WHEN lower(html[1:5]) = '<html' THEN 'html' ELSE 'unknown' END AS kind FROM pages")
@@ -82,28 +81,26 @@ def store_versioned_read(spark, d):
     return rows.filter("signature_kept or label is not null")
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END, '$.k') AS BIGINT), 0) AS k FROM events WHERE event_id % 10 < 2")
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END, '$.k') AS BIGINT), 0) AS k FROM events")
 def json_tolerant(spark, d):
     """A missing or broken document is an empty one."""
     text = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("props"))
     parsed = F.from_json(text, "k bigint")
-    return table(spark, d, "events").filter("event_id % 10 < 2").select("event_id", F.coalesce(parsed["k"], F.lit(0)).alias("k"))
+    return table(spark, d, "events").select("event_id", F.coalesce(parsed["k"], F.lit(0)).alias("k"))
 
 
-@query("WITH l AS (SELECT event_id, user_id % 4 AS file, event_type FROM events WHERE event_id % 20 = 0) SELECT event_id, file, row_number() OVER (ORDER BY file DESC, event_id) AS place FROM l")
+@query("WITH l AS (SELECT event_id, user_id % 4 AS file, event_type FROM events) SELECT event_id, file, row_number() OVER (ORDER BY file DESC, event_id) AS place FROM l")
 def jsonl_replay_order(spark, d):
     """Lines in the order of replay, newest file first."""
-    from siftstone.operators.ranking import global_index
+    l = table(spark, d, "events").select("event_id", (F.col("user_id") % 4).alias("file"))  # noqa: E741
+    return ranking.global_index(l, [F.desc("file"), F.asc("event_id")], "i").select("event_id", "file", (F.col("i") + 1).alias("place"))
 
-    l = table(spark, d, "events").filter("event_id % 20 = 0").select("event_id", (F.col("user_id") % 4).alias("file"))  # noqa: E741
-    return global_index(l, [F.desc("file"), F.asc("event_id")], "i").select("event_id", "file", (F.col("i") + 1).alias("place"))
 
-
-@query("SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'x1' ELSE (event_id % 50)::VARCHAR END AS INT), 0) AS n FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'x1' ELSE (event_id % 50)::VARCHAR END AS INT), 0) AS n FROM events")
 def csv_casts(spark, d):
     """Tolerant numbers of a text table."""
     raw = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, "x1").otherwise((F.col("event_id") % 50).cast("string"))
-    return table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", F.coalesce(raw.try_cast("int"), F.lit(0)).alias("n"))
+    return table(spark, d, "events").select("event_id", F.coalesce(raw.try_cast("int"), F.lit(0)).alias("n"))
 
 
 @query("SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE value > 5 GROUP BY 1")
@@ -202,10 +199,10 @@ def report_fixed(spark, d):
     return table(spark, d, "documents").filter("n_chars > 3000").select("doc_id", "lang", "n_chars")
 
 
-@query("SELECT doc_id AS id, lang, NULL::INT AS toxic FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, NULL, toxic FROM labels")
+@query("SELECT doc_id AS id, lang, NULL::INT AS toxic FROM documents UNION ALL SELECT doc_id, NULL, toxic FROM labels")
 def report_union_keys(spark, d):
     """K4: rows of several kinds under all their columns."""
-    return sinks.union_of_keys([table(spark, d, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), "lang"), table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic")])
+    return sinks.union_of_keys([table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic")])
 
 
 @query("SELECT lang, '{\"lang\":\"' || lang || '\",\"n\":' || count(*) || '}' AS doc FROM documents GROUP BY lang")
@@ -250,8 +247,8 @@ def empty_parents(spark, d):
 @query("WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, 1 AS phase, 'p/' || p_partkey AS source, 'tmp/' || p_partkey AS destination FROM r UNION ALL SELECT p_partkey, 2, 'tmp/' || p_partkey, p_brand || '_' || lpad(k::VARCHAR, 3, '0') FROM r")
 def rename_two_phase(spark, d):
     """Renames by way of temporary names."""
-    k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    r = table(spark, d, "part").select("p_partkey", tx.numbered(F.col("p_brand"), k).alias("final"))
+    r = ranking.group_index(table(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand"], [F.asc("p_partkey")], "i")
+    r = r.select("p_partkey", tx.numbered(F.col("p_brand"), F.col("i") + 1).alias("final"))
     key = F.col("p_partkey").cast("string")
     tmp = F.concat(F.lit("tmp/"), key)
     steps = F.array(F.struct(F.lit(1).alias("phase"), F.concat(F.lit("p/"), key).alias("source"), tmp.alias("destination")), F.struct(F.lit(2).alias("phase"), tmp.alias("source"), F.col("final").alias("destination")))
@@ -267,31 +264,41 @@ def merge_plan(spark, d):
 
 
 _FOUND = """
-WITH e AS (SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 50 = 0 THEN NULL WHEN vec_id % 51 = 0 THEN embedding[1:10] ELSE embedding END AS v, CASE WHEN vec_id % 40 = 0 THEN NULL ELSE 's' || vec_id % 450 END AS src FROM embeddings),
-f AS (SELECT id, 'error' AS severity, 'null_embedding' AS code FROM e WHERE v IS NULL UNION ALL SELECT id, 'error', 'wrong_dim' FROM e WHERE v IS NOT NULL AND len(v) <> 64 UNION ALL SELECT id, 'warning', 'null_src' FROM e WHERE src IS NULL
-UNION ALL SELECT id, 'warning', 'duplicate_key' FROM (SELECT id, count(*) OVER (PARTITION BY src) AS n, src FROM e) WHERE n > 1 AND src IS NOT NULL)
+WITH e AS (SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 50 = 0 THEN NULL WHEN vec_id % 51 = 0 THEN embedding[1:10] ELSE embedding END AS v, CASE WHEN vec_id % 40 = 0 THEN NULL ELSE 's' || vec_id % 450 END AS src, vec_id % 3 AS k,
+  CASE WHEN vec_id % 30 = 0 THEN NULL WHEN vec_id % 31 = 0 THEN '47494638' ELSE 'ffd8' || vec_id END AS payload FROM embeddings),
+s AS (SELECT DISTINCT 's' || vec_id % 450 AS src, vec_id % 450 AS n FROM embeddings WHERE vec_id % 450 % 9 <> 0), l AS (SELECT src, n, n % 17 <> 0 AS readable, n + CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END AS sig FROM s WHERE n % 11 <> 0),
+f AS (SELECT id, 'error' AS severity, 'missing_src' AS code FROM e WHERE src IS NULL UNION ALL SELECT id, 'error', 'missing_embedding' FROM e WHERE v IS NULL UNION ALL SELECT id, 'error', 'wrong_embedding_shape' FROM e WHERE len(v) <> 64
+UNION ALL SELECT id, 'error', 'missing_payload' FROM e WHERE payload IS NULL UNION ALL SELECT id, 'warning', 'payload_without_magic' FROM e WHERE NOT starts_with(payload, 'ffd8')
+UNION ALL SELECT id, 'error', 'duplicate_entry' FROM (SELECT id, src, count(*) OVER (PARTITION BY src, k) AS n FROM e) WHERE n > 1 AND src IS NOT NULL
+UNION ALL SELECT id, 'error', 'entry_without_signature' FROM e WHERE src IS NOT NULL AND src NOT IN (SELECT src FROM s)
+UNION ALL SELECT src, 'warning', 'file_missing' FROM s WHERE src NOT IN (SELECT src FROM l) UNION ALL SELECT src, 'warning', 'file_unreadable' FROM l WHERE NOT readable UNION ALL SELECT l.src, 'warning', 'file_modified' FROM l JOIN s USING (src) WHERE readable AND l.sig <> s.n
+UNION ALL SELECT '', 'error', 'version_mismatch' UNION ALL SELECT '', 'warning', 'config_changed')
 """
 
 
 def _found(spark, d):
     key = F.col("vec_id")
     v = F.when(key % 50 == 0, F.lit(None)).when(key % 51 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding"))
-    src = F.when(key % 40 != 0, F.concat(F.lit("s"), (key % 450).cast("string")))
-    e = table(spark, d, "embeddings").select("vec_id", v.alias("v"), src.alias("src"))
-    n = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and src is not null")
-    rows = e.join(n, "src", "left")
-    return audit.findings(rows, "vec_id", [(F.col("v").isNull(), "error", "null_embedding"), (F.size("v") != 64, "error", "wrong_dim"), (F.col("src").isNull(), "warning", "null_src"), (F.col("n").isNotNull(), "warning", "duplicate_key")])
+    src = F.concat(F.lit("s"), (key % 450).cast("string"))
+    payload = F.when(key % 30 == 0, F.lit(None)).when(key % 31 == 0, F.lit("47494638")).otherwise(F.concat(F.lit("ffd8"), key.cast("string")))
+    rows = table(spark, d, "embeddings")
+    entries = rows.select(key.alias("id"), F.when(key % 40 != 0, src).alias("src"), (key % 3).alias("k"), v.alias("v"), payload.alias("payload"))
+    n = F.col("n")
+    signatures = rows.select(src.alias("src"), (key % 450).alias("n")).filter("n % 9 <> 0").distinct()
+    files = signatures.filter("n % 11 <> 0").select("src", (n + F.when(n % 13 == 0, 1).otherwise(0)).alias("sig"), (n % 17 != 0).alias("readable"))
+    header = spark.createDataFrame([(1, "old")], "version int, config string")
+    return audit.integrity(entries, signatures.select("src", n.alias("sig")), files, header, 2, "new", 64, "ffd8")
 
 
 @query(_FOUND + "SELECT id, severity, code FROM f")
 def audit_findings(spark, d):
-    """Q1: all failed checks of all rows in one pass."""
+    """Q1: the failed ones of 13 checks of a store, its entries and its sources."""
     return _found(spark, d)
 
 
-@query(_FOUND + "SELECT severity, code, count(*) AS n, min(id) AS sample FROM f GROUP BY ALL")
+@query(_FOUND + "SELECT severity, code, count(*) AS n, array_to_string(list_sort(list(id))[1:3], ',') AS samples FROM f GROUP BY ALL")
 def audit_rollup(spark, d):
-    """Counts by severity and code with a sample."""
+    """Counts by severity and code with three samples."""
     return audit.rollup(_found(spark, d))
 
 

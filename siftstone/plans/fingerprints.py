@@ -11,27 +11,42 @@ from siftstone.operators import dedup
 from siftstone.operators.graph import checkpointed, connected_components
 from siftstone.sources.tables import table
 
-_EXACT = """
-WITH h AS (SELECT doc_id AS id, {scope} AS scope, n_chars, sha256(text) AS hash FROM documents),
-g AS (SELECT *, count(*) OVER (PARTITION BY scope, hash) AS n, first_value(id) OVER (PARTITION BY scope, hash ORDER BY n_chars DESC, id) AS keeper FROM h)
-SELECT scope, hash, id, keeper, n, 'exact_file' AS kind, 100 AS confidence, CASE WHEN id = keeper THEN 'keep' ELSE 'move' END AS action FROM g WHERE n > 1
+_STATUS = "s AS (SELECT doc_id, CASE WHEN max(toxic) = 1 THEN 'possible' ELSE 'safe' END AS status FROM labels GROUP BY 1)"
+_EXACT = (
+    "WITH "
+    + _STATUS
+    + """, h AS (SELECT doc_id AS id, {scope} AS scope, coalesce(status, 'safe') AS status, n_chars, sha256(text) AS hash FROM documents LEFT JOIN s USING (doc_id)),
+g AS (SELECT *, count(*) OVER (PARTITION BY scope, status, hash) AS n, first_value(id) OVER (PARTITION BY scope, status, hash ORDER BY n_chars DESC, id) AS keeper FROM h)
+SELECT scope, status, hash, id, keeper, n, 'exact_file' AS kind, 100 AS confidence, CASE WHEN id = keeper THEN 'keep' ELSE 'move' END AS action FROM g WHERE n > 1
 """
+)
+
+
+def _with_status(spark, d, *columns):
+    """Documents (id, status, columns): the status comes from the labels, safe without one."""
+    lab = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("id"), *columns)
+    return docs.join(lab, "doc_id", "left").withColumn("status", F.when(F.col("toxic") == 1, "possible").otherwise("safe")).drop("doc_id", "toxic")
 
 
 def _hashed(spark, d, scope):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), scope.alias("scope"), "n_chars", F.sha2("text", 256).alias("hash"))
+    return _with_status(spark, d, scope.alias("scope"), "n_chars", F.sha2("text", 256).alias("hash"))
+
+
+def _by_size():
+    return [-F.col("n_chars"), F.col("id")]
 
 
 @query(_EXACT.format(scope="lang"))
 def dedup_exact_scoped(spark, d):
-    """Exact duplicates within a scope."""
-    return dedup.duplicate_groups(_hashed(spark, d, F.col("lang")), ["scope", "hash"], [-F.col("n_chars"), F.col("id")], "exact_file", 100)
+    """Exact duplicates within a scope and a status."""
+    return dedup.duplicate_groups(_hashed(spark, d, F.col("lang")), ["scope", "status", "hash"], _by_size(), "exact_file", 100)
 
 
 @query(_EXACT.format(scope="'__global__'"))
 def dedup_exact_global(spark, d):
     """The same over all scopes."""
-    return dedup.duplicate_groups(_hashed(spark, d, F.lit("__global__")), ["scope", "hash"], [-F.col("n_chars"), F.col("id")], "exact_file", 100)
+    return dedup.duplicate_groups(_hashed(spark, d, F.lit("__global__")), ["scope", "status", "hash"], _by_size(), "exact_file", 100)
 
 
 @query("""
@@ -46,22 +61,48 @@ def dedup_keeper_actions(spark, d):
     return dedup.duplicate_groups(docs, ["hash"], rank, "exact_file", 100, other="already_linked")
 
 
+@query(
+    "WITH "
+    + _STATUS
+    + """, h AS (SELECT doc_id AS id, lang AS scope, coalesce(status, 'safe') AS status, n_chars, sha256(text) AS sha, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS hash FROM documents LEFT JOIN s USING (doc_id)),
+e AS (SELECT *, count(*) OVER (PARTITION BY scope, status, sha) AS ne FROM h),
+g AS (SELECT *, count(*) OVER (PARTITION BY scope, status, hash) AS n, first_value(id) OVER (PARTITION BY scope, status, hash ORDER BY n_chars DESC, id) AS keeper FROM e WHERE ne = 1)
+SELECT scope, status, hash, id, keeper, n, 'same_content' AS kind, 100 AS confidence, CASE WHEN id = keeper THEN 'keep' ELSE 'move' END AS action FROM g WHERE n > 1
+"""
+)
+def dedup_canonical_layer(spark, d):
+    """Rows whose whole texts are equal but for case and white space, without members of exact groups."""
+    docs = _with_status(spark, d, F.col("lang").alias("scope"), "n_chars", F.sha2("text", 256).alias("sha"), F.sha2(tx.match_key(F.col("text")), 256).alias("hash"))
+    single = docs.groupBy("scope", "status", "sha").agg(F.count(F.lit(1)).alias("ne")).filter("ne = 1")
+    rest = docs.join(single, ["scope", "status", "sha"], "left_semi")
+    return dedup.duplicate_groups(rest, ["scope", "status", "hash"], _by_size(), "same_content", 100)
+
+
 @query("""
-WITH h AS (SELECT doc_id AS id, lang AS scope, n_chars, sha256(text) AS sha, sha256(substring(lower(regexp_replace(trim(text), '\\s+', ' ', 'g')), 1, 120)) AS hash FROM documents),
-e AS (SELECT *, count(*) OVER (PARTITION BY scope, sha) AS ne FROM h),
-g AS (SELECT *, count(*) OVER (PARTITION BY scope, hash) AS n, first_value(id) OVER (PARTITION BY scope, hash ORDER BY n_chars DESC, id) AS keeper FROM e WHERE ne = 1)
-SELECT scope, hash, id, keeper, n, 'same_content' AS kind, 100 AS confidence, CASE WHEN id = keeper THEN 'keep' ELSE 'review' END AS action FROM g WHERE n > 1
+WITH h AS (SELECT md5(text) AS hash, doc_id AS id, CASE WHEN source = 'src1' THEN 1 ELSE 0 END AS review, CASE WHEN source = 'src2' THEN 1 ELSE 0 END AS duplicate, CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS blurred, n_chars AS pixels, doc_id % 3 AS links, CASE WHEN source IN ('src3', 'src4') THEN 1 ELSE 0 END AS inbox, length(source) AS depth, source || '/' || doc_id AS path FROM documents)
+SELECT hash, count(*) AS n, first(id ORDER BY review, duplicate, blurred, pixels DESC, path, id) AS by_review, first(id ORDER BY duplicate, blurred, links DESC, path, id) AS by_links, first(id ORDER BY inbox, depth, path, id) AS by_place, first(id ORDER BY duplicate, blurred, path, id) AS by_penalty, first(id ORDER BY depth, path, pixels DESC, id) AS by_depth FROM h GROUP BY hash HAVING count(*) > 1
 """)
-def dedup_canonical_layer(spark, d):
-    """Rows with one canonical content, without members of exact groups."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), "n_chars", F.sha2("text", 256).alias("sha"), F.sha2(tx.canonical_prefix(F.col("text")), 256).alias("hash"))
-    single = docs.groupBy("scope", "sha").agg(F.count(F.lit(1)).alias("ne")).filter("ne = 1")
-    rest = docs.join(single, ["scope", "sha"], "left_semi")
-    return dedup.duplicate_groups(rest, ["scope", "hash"], [-F.col("n_chars"), F.col("id")], "same_content", 100, other="review")
+def keeper_orders(spark, d):
+    """The keeper of each group of equal texts under each of the five orders."""
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    source = F.col("source")
+    rows = table(spark, d, "documents").select(
+        F.md5("text").alias("hash"),
+        F.col("doc_id").alias("id"),
+        flag(source == "src1").alias("review"),
+        flag(source == "src2").alias("duplicate"),
+        flag(F.col("lang") == "de").alias("blurred"),
+        F.col("n_chars").alias("pixels"),
+        (F.col("doc_id") % 3).alias("links"),
+        flag(source.isin("src3", "src4")).alias("inbox"),
+        F.length("source").alias("depth"),
+        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
+    )
+    return dedup.keepers(rows, ["hash"])
 
 
 def token_simhash(docs):
-    """(id, scope, hi, lo): two 32-bit halves of a SimHash of space-separated tokens, weighted by their counts."""
+    """(id, scope, hash): a 64-bit SimHash of space-separated tokens, weighted by their counts."""
     tokens = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), F.explode(F.split(F.lower("text"), " ")).alias("t")).filter("t <> ''")
     counts = tokens.groupBy("id", "scope", "t").agg(F.count(F.lit(1)).alias("tf"))
     digest = F.md5(F.col("t").cast("binary"))
@@ -69,7 +110,7 @@ def token_simhash(docs):
     sums = [F.sum(F.col("tf") * (2 * F.shiftright(F.col(f"w{k}"), b).bitwiseAND(F.lit(1).cast("long")) - 1)).alias(f"s{k}_{b}") for k in (0, 1) for b in range(32)]
     summed = halves.groupBy("id", "scope").agg(*sums)
     word = lambda k: sum((F.when(F.col(f"s{k}_{b}") > 0, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(32)), F.lit(0).cast("long"))
-    return summed.select("id", "scope", word(0).alias("hi"), word(1).alias("lo"))
+    return summed.select("id", "scope", F.shiftleft(word(0), 32).bitwiseOR(word(1)).alias("hash"))
 
 
 def _stored_simhash(spark, d):
@@ -84,13 +125,38 @@ bits AS (SELECT id, scope, b, sum(tf * (2 * ((w0 >> b) & 1) - 1)) AS s0, sum(tf
 fp AS (SELECT id, scope, sum(CASE WHEN s0 > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS hi, sum(CASE WHEN s1 > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS lo FROM bits GROUP BY ALL),
 pairs AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS dist FROM fp x JOIN fp y ON x.scope = y.scope AND x.id < y.id)
 """
-_BANDS = [("hi", 16, 16), ("hi", 0, 16), ("lo", 16, 16), ("lo", 0, 16)]
 
 
 @query(_SIMHASH + "SELECT a, b, dist::BIGINT AS dist FROM pairs WHERE dist <= 3")
 def near_pairs_hamming(spark, d):
-    """Pairs within 3 bits by four bands."""
-    return dedup.hamming_pairs(_stored_simhash(spark, d), ["hi", "lo"], _BANDS, 3, ["scope"]).withColumn("dist", F.col("dist").cast("long"))
+    """Pairs within 3 bits, by pairs of five segments."""
+    return dedup.hamming_pairs(_stored_simhash(spark, d), 3, ["scope"]).withColumn("dist", F.col("dist").cast("long"))
+
+
+@query(
+    _SIMHASH.replace("WITH ", "WITH RECURSIVE ", 1).replace("pairs AS (SELECT x.id AS a, y.id AS b,", "near0 AS (SELECT x.id AS a, y.id AS b,")
+    + ", "
+    + _STATUS
+    + """, d AS (SELECT doc_id AS id, lang AS scope, coalesce(status, 'safe') AS status, n_chars, sha256(text) AS sha, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) AS content, n_chars / len(string_split(text, ' ')) AS aspect FROM documents LEFT JOIN s USING (doc_id)),
+e AS (SELECT *, count(*) OVER (PARTITION BY scope, status, sha) AS ne, first_value(id) OVER (PARTITION BY scope, status, sha ORDER BY n_chars DESC, id) AS ke FROM d),
+c AS (SELECT *, count(*) OVER (PARTITION BY scope, status, content) AS nc, first_value(id) OVER (PARTITION BY scope, status, content ORDER BY n_chars DESC, id) AS kc FROM e WHERE ne = 1),
+r AS (SELECT * FROM c WHERE nc = 1),
+pairs AS (SELECT a, b, dist, abs(x.aspect - y.aspect) <= 0.08 AS fits FROM near0 JOIN r x ON x.id = a JOIN r y ON y.id = b WHERE dist <= 3 AND x.status = y.status),
+l AS (SELECT a, b FROM pairs WHERE fits),
+walk(node, seen) AS (SELECT a, a FROM l UNION SELECT b, b FROM l UNION SELECT w.node, CASE WHEN l.a = w.seen THEN l.b ELSE l.a END FROM walk w JOIN l ON l.a = w.seen OR l.b = w.seen),
+comp AS (SELECT node AS id, min(seen) AS component FROM walk GROUP BY node),
+least AS (SELECT x.component, min(dist) AS dist FROM pairs JOIN comp x ON x.id = a JOIN comp y ON y.id = b WHERE x.component = y.component GROUP BY 1),
+n AS (SELECT r.id, component, dist, first_value(r.id) OVER (PARTITION BY component ORDER BY n_chars DESC, r.id) AS kn FROM r JOIN comp ON comp.id = r.id JOIN least USING (component)),
+u AS (SELECT 0 AS layer, scope || '|' || status || '|' || sha AS grp, 'exact_file' AS kind, 100 AS confidence, ke AS keeper, id, NULL::INT AS dist, 'move' AS other FROM e WHERE ne > 1
+UNION ALL SELECT 1, scope || '|' || status || '|' || content, 'same_content', 100, kc, id, NULL, 'move' FROM c WHERE nc > 1 UNION ALL SELECT 2, component::VARCHAR, 'similar', greatest(70, 98 - 4 * dist)::INT, kn, id, dist::INT, 'review' FROM n),
+g AS (SELECT *, min(id) OVER (PARTITION BY layer, grp) AS first FROM u)
+SELECT dense_rank() OVER (ORDER BY layer, first, grp) AS group_id, kind, confidence, CASE WHEN id = keeper THEN 'keep' ELSE other END AS action, keeper, id, dist FROM g"""
+)
+def dedup_layered(spark, d):
+    """Exact, same content and similar in one report, each without what stands above it."""
+    docs = _with_status(spark, d, F.col("lang").alias("scope"), "n_chars", F.sha2("text", 256).alias("sha"), F.sha2(tx.match_key(F.col("text")), 256).alias("content"), (F.col("n_chars") / F.size(F.split("text", " "))).alias("aspect"))
+    hashes = token_simhash(table(spark, d, "documents")).select("id", "hash")
+    return dedup.layers(docs.join(hashes, "id", "left").withColumn("hash", F.coalesce("hash", F.lit(0).cast("long"))), ["scope", "status"], _by_size(), 3, 0.08)
 
 
 @query(
@@ -102,11 +168,19 @@ m AS (SELECT c.component, min(e.dist) AS d FROM e JOIN c ON c.node = e.a GROUP B
 SELECT node AS id, component, greatest(70, 98 - 4 * d)::INT AS confidence FROM c JOIN m USING (component)"""
 )
 def near_components(spark, d):
-    """Components of near pairs; the confidence comes from a group's least distance."""
-    pairs = checkpointed(dedup.hamming_pairs(_stored_simhash(spark, d), ["hi", "lo"], _BANDS, 3, ["scope"]))
-    nodes = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    least = pairs.join(nodes, pairs["a"] == nodes["node"]).groupBy("component").agg(F.min("dist").alias("d"))
-    return nodes.join(least, "component").select(F.col("node").alias("id"), "component", F.greatest(F.lit(70), 98 - 4 * F.col("d")).cast("int").alias("confidence"))
+    """Components of near pairs; the confidence comes from a group's least distance.
+
+    Rows of one hash are a class, so a crowd of copies is one row of the pair join.
+    """
+    members, classes = dedup.hash_classes(_stored_simhash(spark, d), ["scope"])
+    pairs = checkpointed(dedup.hamming_pairs(classes, 3, ["scope"]))
+    linked = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id")
+    named = classes.join(linked, "id", "left").filter("component is not null or n > 1").select(F.col("id").alias("class"), "n", F.coalesce("component", "id").alias("component"))
+    named = checkpointed(named)
+    near = pairs.join(named.select(F.col("class").alias("a"), "component"), "a").select("component", "dist").unionByName(named.filter("n > 1").select("component", F.lit(0).alias("dist")))
+    least = near.groupBy("component").agg(F.min("dist").alias("d"))
+    tiers = named.join(least, "component").select("class", "component", F.greatest(F.lit(70), 98 - 4 * F.col("d")).cast("int").alias("confidence"))
+    return members.join(tiers, "class").select("id", "component", "confidence")
 
 
 @query("""

@@ -99,6 +99,37 @@ class Manifest:
         return missing.select("path", F.lit("planned").alias("status"))
 
 
+class Registry:
+    """Named actions with aliases; an action is a step (name, function, needed) or a list of other actions' names."""
+
+    def __init__(self):
+        self.steps: dict[str, tuple[Callable, Callable | None]] = {}
+        self.lists: dict[str, list[str]] = {}
+        self.aliases: dict[str, str] = {}
+
+    def add(self, name: str, action: Callable | list[str], aliases: tuple[str, ...] = (), needed: Callable | None = None) -> None:
+        for key in (name, *aliases):
+            if key in self.aliases:
+                raise ValueError(f"{key} is taken")
+            self.aliases[key] = name
+        if isinstance(action, list):
+            self.lists[name] = action
+        else:
+            self.steps[name] = (action, needed)
+
+    def plan(self, key: str, above: tuple[str, ...] = ()) -> list[str]:
+        """The steps that a name or alias stands for, in order, lists resolved."""
+        name = self.aliases.get(key)
+        if name is None:
+            raise KeyError(f"no action {key}")
+        if name in above:
+            raise ValueError(f"{name} contains itself")
+        return [name] if name in self.steps else [s for part in self.lists[name] for s in self.plan(part, (*above, name))]
+
+    def run(self, key: str, runner: StepRunner) -> dict[str, str]:
+        return runner.run([(name, *self.steps[name]) for name in dict.fromkeys(self.plan(key))])
+
+
 def preflight(spark: SparkSession, needed: list[str], least_gb: float, memory_mb: float, path: str = ".") -> list[tuple[str, str, str]]:
     """(severity, code, detail) of checks before a run: inputs that can be read, space on disk, memory."""
     import shutil

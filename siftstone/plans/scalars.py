@@ -13,10 +13,10 @@ from siftstone.sources.tables import table
 
 
 def _lines(spark, d):
-    return table(spark, d, "lineitem").filter("l_orderkey % 10 = 0")
+    return table(spark, d, "lineitem")
 
 
-_LINES = "l AS (SELECT * FROM lineitem WHERE l_orderkey % 10 = 0)"
+_LINES = "l AS (SELECT * FROM lineitem)"
 
 
 @query("WITH " + _LINES + " SELECT l_orderkey, l_linenumber, round(exp((ln(greatest(0, least(1, (l_discount * 8 - 0.1) / 0.6)) + 1e-3) + ln(greatest(0, least(1, (l_quantity - 5) / 40)) + 1e-3) + ln(greatest(0, least(1, ln(1 + l_extendedprice) / ln(1 + 60000.0))) + 1e-3) + ln(greatest(0, least(1, l_tax * 12.0)) + 1e-3)) / 4), 6) AS score FROM l")
@@ -76,7 +76,7 @@ def human_size(spark, d):
 
 
 @query("""
-WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 3 THEN ['low_resolution'] ELSE list_filter([CASE WHEN l_discount >= 0.08 THEN 'cheap' END, CASE WHEN l_tax <= 0.01 THEN 'light' END, CASE WHEN l_extendedprice > 50000 THEN 'large' END, CASE WHEN l_discount >= 0.08 AND l_extendedprice > 50000 THEN 'best_candidate' END], lambda x: x IS NOT NULL) END AS labels FROM lineitem WHERE l_orderkey % 10 = 0)
+WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 3 THEN ['low_resolution'] ELSE list_filter([CASE WHEN l_discount >= 0.08 THEN 'cheap' END, CASE WHEN l_tax <= 0.01 THEN 'light' END, CASE WHEN l_extendedprice > 50000 THEN 'large' END, CASE WHEN l_discount >= 0.08 AND l_extendedprice > 50000 THEN 'best_candidate' END], lambda x: x IS NOT NULL) END AS labels FROM lineitem)
 SELECT l_orderkey, l_linenumber, unnest(CASE WHEN len(labels) = 0 THEN ['plain'] ELSE labels END) AS label FROM s
 """)
 def rule_labels_multi(spark, d):
@@ -85,11 +85,11 @@ def rule_labels_multi(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber", F.explode(labels).alias("label"))
 
 
-_DET = "WITH t AS (SELECT * FROM (VALUES ('view', 0.45), ('purchase', 0.7), ('error', 0.2)) t(class, threshold)), r AS (SELECT user_id, event_type AS class, value / 200 AS score FROM events WHERE event_id % 7 = 0)"
+_DET = "WITH t AS (SELECT * FROM (VALUES ('view', 0.45), ('purchase', 0.7), ('error', 0.2)) t(class, threshold)), r AS (SELECT user_id, event_type AS class, value / 200 AS score FROM events)"
 
 
 def _detections(spark, d):
-    return table(spark, d, "events").filter("event_id % 7 = 0").select("event_id", "user_id", F.col("event_type").alias("class"), (F.col("value") / 200).alias("score"))
+    return table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("class"), (F.col("value") / 200).alias("score"))
 
 
 @query(_DET + ", b AS (SELECT user_id, arg_max(class, (score, class)) AS class, max(score) AS score FROM r JOIN t USING (class) GROUP BY 1) SELECT user_id, class, round(score, 6) AS score, CASE WHEN score >= greatest(0.45, threshold) THEN 'possible' ELSE 'uncertain' END AS verdict FROM b JOIN t USING (class)")
@@ -99,7 +99,7 @@ def detections_classified(spark, d):
     return rules.classify_detections(_detections(spark, d), "user_id", limits, 0.45).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT user_id, string_agg(event_type || ':' || (value * 1000)::BIGINT, ';' ORDER BY event_id) AS detections FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+@query("SELECT user_id, string_agg(event_type || ':' || (value * 1000)::BIGINT, ';' ORDER BY event_id) AS detections FROM events GROUP BY 1")
 def detections_string(spark, d):
     """A list of detections as delimited text, in thousandths."""
     item = F.concat_ws(":", "class", F.round(F.col("score") * 200 * 1000).cast("long").cast("string"))
@@ -128,6 +128,21 @@ def sanitize_names(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.match_key(F.col("p_type")).alias("key"), tx.safe_name(F.col("p_name")).alias("name"))
 
 
+_ODD = "n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '/' || p_size WHEN 1 THEN ' ' || p_name || ': \\ *' WHEN 2 THEN '._-' || p_type || '?' ELSE '   ' END AS name FROM part)"
+
+
+@query("WITH " + _ODD + """
+SELECT p_partkey, regexp_replace(trim(name), '[/\\\\:*?"<>|]', '_', 'g') AS plain,
+coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(name), '\\s+', '_', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g')[1:64], '[._-]+$', '', 'g'), ''), 'image') AS part,
+coalesce(nullif(regexp_replace(trim(name), '[/:]', '_', 'g'), ''), 'unnamed') AS folder FROM n
+""")
+def sanitize_rules(spark, d):
+    """The other three sets of rules for names: plain, part of a name, folder."""
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, F.concat_ws("/", "p_name", F.col("p_size").cast("string"))).when(k == 1, F.concat(F.lit(" "), "p_name", F.lit(": \\ *"))).when(k == 2, F.concat(F.lit("._-"), "p_type", F.lit("?"))).otherwise("   ")
+    return table(spark, d, "part").select("p_partkey", tx.plain_name(name).alias("plain"), tx.name_part(name).alias("part"), tx.folder_name(name).alias("folder"))
+
+
 @query("SELECT p_partkey, regexp_extract(p_brand, '(?i)^brand#?(\\d+)$', 1) AS idx, regexp_matches(p_brand, '(?i)^brand') AS ours, coalesce(TRY_CAST(nullif(regexp_extract(p_brand, '(\\d+)', 1), '') AS INT), 0) AS n FROM part")
 def token_extract(spark, d):
     """Indexes and tokens by regular expression."""
@@ -156,16 +171,16 @@ def keyword_flags(spark, d):
     return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", has("license").alias("license"), has("the", "and").alias("english"), has("der", "und").alias("german"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS run_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS run_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
 def run_ids(spark, d):
     """Run ids and ISO times."""
-    return table(spark, d, "events").filter("event_id % 10 = 0").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("run_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("run_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query("SELECT event_id, 'p/' || user_id AS source_path, event_type AS op, json_extract_string(props, '$.k') AS extra_k FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, 'p/' || user_id AS source_path, event_type AS op, json_extract_string(props, '$.k') AS extra_k FROM events")
 def event_struct(spark, d):
     """Nested event structs with a free map of further fields."""
-    e = table(spark, d, "events").filter("event_id % 10 = 0")
+    e = table(spark, d, "events")
     event = F.struct(F.struct(F.concat(F.lit("p/"), F.col("user_id").cast("string")).alias("path")).alias("source"), F.col("event_type").alias("op"), F.from_json("props", "map<string,string>").alias("extra"))
     return e.select("event_id", event.alias("e")).select("event_id", F.col("e.source.path").alias("source_path"), F.col("e.op").alias("op"), F.col("e.extra")["k"].alias("extra_k"))
 
@@ -242,7 +257,7 @@ def report_numbers(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / 7, 3).alias("price"), F.round(F.col("l_tax") / 3, 3).alias("tax"))
 
 
-@query("SELECT event_id AS id, event_id % 7 <> 0 AS ok, CASE WHEN event_id % 7 <> 0 THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS value, CASE WHEN event_id % 7 = 0 THEN 'JSONDecodeError' END AS error FROM events WHERE event_id % 10 < 3")
+@query("SELECT event_id AS id, event_id % 7 <> 0 AS ok, CASE WHEN event_id % 7 <> 0 THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS value, CASE WHEN event_id % 7 = 0 THEN 'JSONDecodeError' END AS error FROM events")
 def batch_inference(spark, d):
     """A model per task on whole batches; rows of a failed batch are tried alone."""
     from siftstone.operators.inference import infer
@@ -253,4 +268,4 @@ def batch_inference(spark, d):
         return lambda texts: [float(json.loads(t)["k"]) for t in texts]
 
     raw = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.col("props"))
-    return infer(table(spark, d, "events").filter("event_id % 10 < 3").select("event_id", raw.alias("raw")), "event_id", "raw", load)
+    return infer(table(spark, d, "events").select("event_id", raw.alias("raw")), "event_id", "raw", load)

@@ -39,9 +39,10 @@ def stream_fingerprints(spark, d):
     return micro.run_to_table(micro.source(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash")))
 
 
-@query()
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def stream_sessions(spark, d):
     """X11: sessions of a user's events with gaps under an hour; no row is late, and the last sessions are there."""
     e = micro.source(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     rows = e.groupBy(F.session_window("at", "1 hour"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return micro.latest_result(rows.select("user_id", F.col("session_window.start").alias("start"), "n"))
+    sessions = micro.latest_result(rows.select("user_id", F.col("session_window.start").alias("start"), "n"))
+    return sessions.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

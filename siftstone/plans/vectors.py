@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftstone.catalog import query
+from siftstone.functions import text as tx
 from siftstone.functions import vectors as vec
-from siftstone.operators import cluster, match
-from siftstone.operators.graph import checkpointed, connected_components
+from siftstone.operators import cluster, match, ranking
+from siftstone.operators.graph import checkpointed, connected_components, small
 from siftstone.sources.tables import table
 
 EPS = 0.60
@@ -82,29 +82,26 @@ def match_use_once(spark, d):
     return match.use_once(two.select(F.col("id").alias("cid"), F.col("tid").alias("name"))).select(F.col("cid").alias("id"), F.col("name").alias("tid"))
 
 
-@query(
-    _TOP2
-    + ", a1 AS (SELECT id, tid AS label FROM t WHERE rn = 1 AND dist <= 0.8 AND margin >= 0.05), e2 AS (SELECT id, label, v FROM e WHERE id % 2 = 0 UNION ALL SELECT e.id, a1.label, e.v FROM e JOIN a1 USING (id)), "
-    + _CENT.format(g="label", w="1.0", f="e2", where="true").replace("x AS", "x2 AS").replace("FROM x)", "FROM x2)").replace(", c AS", ", c2 AS")
-    + ", q2 AS (SELECT e.id, c2.g AS tid, 1 - "
-    + _DOT.format(a="e.v", b="c2.c")
-    + " / sqrt("
-    + _DOT.format(a="e.v", b="e.v")
-    + ") AS dist FROM e JOIN c2 ON true WHERE e.id % 2 = 1 AND e.id NOT IN (SELECT id FROM a1)), t2 AS (SELECT id, tid, dist, lead(dist) OVER (PARTITION BY id ORDER BY dist, tid) - dist AS margin, row_number() OVER (PARTITION BY id ORDER BY dist, tid) AS rn FROM q2) SELECT id, label, 1 AS pass FROM a1 UNION ALL SELECT id, tid, 2 FROM t2 WHERE rn = 1 AND dist <= 0.8 AND margin >= 0.05"
-)
+def _propagation_sql(passes):
+    """The passes one after another; one that assigns nothing is followed by others that assign nothing."""
+    out = ["WITH " + _V + ", k0 AS (SELECT id, label, v FROM e WHERE id % 2 = 0), r0 AS (SELECT id, v FROM e WHERE id % 2 = 1)"]
+    for k in range(1, passes + 1):
+        p = k - 1
+        cent = _CENT.format(g="label", w="1.0", f=f"k{p}", where=f"label IN (SELECT label FROM k{p} GROUP BY 1 HAVING count(*) >= 5)")
+        out.append(cent.replace("x AS", f"x{k} AS").replace("FROM x)", f"FROM x{k})").replace(", c AS", f", c{k} AS"))
+        out.append(f"q{k} AS (SELECT r.id, c.g AS tid, 1 - " + _DOT.format(a="r.v", b="c.c") + " / sqrt(" + _DOT.format(a="r.v", b="r.v") + f") AS dist FROM r{p} r JOIN c{k} c ON true)")
+        out.append(f"t{k} AS (SELECT id, tid, dist, lead(dist) OVER (PARTITION BY id ORDER BY dist, tid) - dist AS margin, row_number() OVER (PARTITION BY id ORDER BY dist, tid) AS rn FROM q{k})")
+        out.append(f"a{k} AS (SELECT id, tid AS label, {k} AS pass FROM t{k} WHERE rn = 1 AND dist <= 0.8 AND margin >= 0.05)")
+        out.append(f"k{k} AS (SELECT * FROM k{p} UNION ALL SELECT r.id, a.label, r.v FROM r{p} r JOIN a{k} a ON a.id = r.id)")
+        out.append(f"r{k} AS (SELECT * FROM r{p} WHERE id NOT IN (SELECT id FROM a{k}))")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT id, label, pass FROM a{k}" for k in range(1, passes + 1))
+
+
+@query(_propagation_sql(5))
 def label_propagation(spark, d):
-    """Two passes; what the first assigns moves the centroids of the second."""
-    rows, fit = _split(spark, d)
-    known = _rows(spark, d).filter("id % 2 = 0").select("id", "label", "v")
-    out = None
-    for k in (1, 2):
-        got = match.top_two(rows, fit).filter("dist <= 0.8 and margin >= 0.05").select("id", F.col("tid").alias("label"))
-        out = got.withColumn("pass", F.lit(k)) if out is None else out.unionByName(got.withColumn("pass", F.lit(k)))
-        if k == 1:
-            known = known.unionByName(rows.join(got, "id").select("id", "label", "v"))
-            rows = rows.join(got, "id", "left_anti")
-            fit = _cent(known).select(F.col("label").alias("tid"), F.col("centroid").alias("t"))
-    return out
+    """Passes until nothing is assigned, five at most; what one assigns moves the centroids of the next."""
+    rows = _rows(spark, d)
+    return match.propagate(rows.filter("id % 2 = 1").select("id", "v"), rows.filter("id % 2 = 0").select("id", "label", "v"), 0.8, 0.05)
 
 
 @query("WITH " + _V + ", " + _CENT.format(g="label", w="1.0", f="e", where="true") + ", p AS (SELECT a.g AS a, b.g AS b, 1 - " + _DOT.format(a="a.c", b="b.c") + " AS dist FROM c a JOIN c b ON a.g < b.g) SELECT a, b, round(dist, 6) AS dist FROM p WHERE dist > 0.66 AND dist <= 0.9")
@@ -122,22 +119,26 @@ _DBSCAN = (
 
 
 def _near(spark, d):
-    rows = _rows(spark, d)
-    return rows, match.vector_pairs(rows, EPS)
+    members, classes = match.vector_classes(_rows(spark, d))
+    return members, classes, checkpointed(match.vector_pairs(classes, EPS))
+
+
+def _dbscan(spark, d, k):
+    members, classes, pairs = _near(spark, d)
+    found = cluster.dbscan(classes.select("id", "n"), pairs, k).withColumnRenamed("id", "class")
+    return members.join(found, "class").select("id", "cluster")
 
 
 @query(_DBSCAN.replace("{k}", "2"))
 def dbscan_k2(spark, d):
     """Two neighbours make a cluster."""
-    rows, pairs = _near(spark, d)
-    return cluster.dbscan(rows.select("id"), pairs, 2)
+    return _dbscan(spark, d, 2)
 
 
 @query(_DBSCAN.replace("{k}", "3"))
 def dbscan_k3(spark, d):
     """Core and border rows."""
-    rows, pairs = _near(spark, d)
-    return cluster.dbscan(rows.select("id"), pairs, 3)
+    return _dbscan(spark, d, 3)
 
 
 @query()
@@ -148,10 +149,14 @@ def centroid_merge(spark, d):
 
 
 def _members(spark, d):
-    rows, pairs = _near(spark, d)
-    pairs = checkpointed(pairs)
-    comp = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return rows.join(comp.withColumnRenamed("node", "id"), "id"), pairs
+    """(members, pairs, classes): rows (id, label, v, component) of all groups of two or more near rows; what links their classes."""
+    members, classes, pairs = _near(spark, d)
+    comp = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class")
+    # equal rows are a group of their own where no other row is near
+    both = classes.select(F.col("id").alias("class"), "n").join(comp, "class", "left").filter("component is not null or n > 1")
+    named = checkpointed(both.select("class", "n", F.coalesce("component", "class").alias("component")))
+    rows = _rows(spark, d).join(members.join(named.select("class", "component"), "class").select("id", "component"), "id")
+    return rows, pairs, named
 
 
 _WALK = _NEAR + ", b AS (SELECT a AS id, b AS o FROM n UNION ALL SELECT b, a FROM n), walk(node, seen) AS (SELECT id, id FROM b UNION SELECT w.node, b.o FROM walk w JOIN b ON b.id = w.seen), comp AS (SELECT node AS id, min(seen) AS component FROM walk GROUP BY node)"
@@ -169,23 +174,31 @@ def recluster_oversize(spark, d):
     return cluster.recluster(_members(spark, d)[0], EPS, 4)
 
 
-@query(_WALK + ", s AS (SELECT component, count(*) AS n, min(id) AS first FROM comp GROUP BY 1 HAVING count(*) >= 2) SELECT component, n, 'person_' || lpad(row_number() OVER (ORDER BY n DESC, first)::VARCHAR, 3, '0') AS name FROM s")
+@query(_WALK + ", s AS (SELECT component, count(*) AS n, min(id) AS first FROM comp GROUP BY 1 HAVING count(*) >= 2) SELECT component, n, 'person_' || lpad(row_number() OVER (ORDER BY n DESC, first)::VARCHAR, greatest(3, length(row_number() OVER (ORDER BY n DESC, first)::VARCHAR))::INT, '0') AS name FROM s")
 def cluster_names(spark, d):
     """Placeholder names, the largest cluster first."""
     sizes = _members(spark, d)[0].groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n >= 2")
-    number = F.row_number().over(Window.orderBy(F.col("n").desc(), "first"))
-    return sizes.select("component", "n", F.concat(F.lit("person_"), F.lpad(number.cast("string"), 3, "0")).alias("name"))
+    numbered = ranking.global_index(sizes, [F.desc("n"), F.asc("first")], "i")
+    return numbered.select("component", "n", tx.numbered(F.lit("person"), F.col("i") + 1).alias("name"))
 
 
 _STATS = _WALK + ", g AS (SELECT c.component, count(*) AS pairs, avg(p.dist) AS mean, min(p.dist) AS least FROM p JOIN comp c ON c.id = p.a JOIN comp f ON f.id = p.b WHERE c.component = f.component GROUP BY 1)"
 
 
 def _stats(spark, d):
-    rows = _members(spark, d)[0]
-    a = rows.select("component", F.col("id").alias("a"), F.col("v").alias("va"))
-    b = rows.select("component", F.col("id").alias("b"), F.col("v").alias("vb"))
-    inside = a.join(b, "component").filter("a < b").withColumn("dist", vec.cosine_distance(F.col("va"), F.col("vb")))
-    return inside.groupBy("component").agg(F.count(F.lit(1)).alias("pairs"), F.avg("dist").alias("mean"), F.min("dist").alias("least"))
+    """Pairs, mean and least distance of each group, without its pairs.
+
+    The cosines of all ordered pairs sum to the squared length of the sum of unit vectors, less their own;
+    the least distance is among the links, or that of equal rows.
+    """
+    rows, pairs, named = _members(spark, d)
+    unit = vec.normalise(F.col("v"), "one")
+    each = rows.select("component", F.posexplode(unit).alias("pos", "x")).groupBy("component", "pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count(F.lit(1)).alias("n"))
+    sums = each.groupBy("component").agg(F.sum(F.col("s") * F.col("s")).alias("all"), F.sum("own").alias("own"), F.max("n").alias("n"))
+    least = pairs.join(named.select(F.col("class").alias("a"), "component"), "a").select("component", "dist").unionByName(named.filter("n > 1").select("component", F.lit(0.0).alias("dist")))
+    least = least.groupBy("component").agg(F.min("dist").alias("least"))
+    count = F.col("n") * (F.col("n") - 1)
+    return sums.join(least, "component").select("component", (count / 2).cast("long").alias("pairs"), (1 - (F.col("all") - F.col("own")) / count).alias("mean"), "least")
 
 
 @query(_STATS + " SELECT component, pairs, round(mean, 6) AS mean, round(least, 6) AS least FROM g")
@@ -205,20 +218,19 @@ def group_confidence(spark, d):
 def composite_pairs(spark, d):
     """A pair's limit on one measure depends on another."""
     rows = _rows(spark, d)
-    side = lambda n: rows.select(F.col("id").alias(n), F.col("label").alias(f"l{n}"))
-    near = match.vector_pairs(rows, 0.75).join(side("a"), "a").join(side("b"), "b").filter("la = lb").withColumn("h", F.abs(F.col("a") % 7 - F.col("b") % 7))
+    near = match.vector_pairs(rows, 0.75, ["label"]).withColumn("h", F.abs(F.col("a") % 7 - F.col("b") % 7))
     return near.filter((F.col("h") <= 3) & (F.col("dist") <= F.when(F.col("h") <= 1, 0.75).otherwise(0.68))).select("a", "b", F.round("dist", 6).alias("dist"))
 
 
 @query("""
-WITH RECURSIVE m AS (SELECT DISTINCT vec_id % 12 AS c, 'L' || (vec_id % 100 // 20) AS label FROM embeddings WHERE vec_id % 100 < 30 AND vec_id % 12 < 9),
+WITH RECURSIVE m AS (SELECT DISTINCT vec_id % 60 AS c, 'L' || (vec_id % 60 // 7) AS label FROM embeddings),
 l AS (SELECT label, min(c) AS keep FROM m GROUP BY label), b AS (SELECT c AS id, keep AS o FROM m JOIN l USING (label) UNION SELECT keep, c FROM m JOIN l USING (label)),
 w(node, seen) AS (SELECT id, id FROM b UNION SELECT w.node, b.o FROM w JOIN b ON b.id = w.seen)
 SELECT node AS cluster, min(seen) AS merged FROM w GROUP BY node
 """)
 def merge_prior_labels(spark, d):
     """Clusters that share a prior label become one, under the least number."""
-    m = table(spark, d, "embeddings").filter("vec_id % 100 < 30 and vec_id % 12 < 9").select((F.col("vec_id") % 12).alias("c"), F.concat(F.lit("L"), F.floor(F.col("vec_id") % 100 / 20).cast("string")).alias("label")).distinct()
+    m = table(spark, d, "embeddings").select((F.col("vec_id") % 60).alias("c"), F.concat(F.lit("L"), F.floor(F.col("vec_id") % 60 / 7).cast("string")).alias("label")).distinct()
     keep = m.groupBy("label").agg(F.min("c").alias("keep"))
     edges = m.join(keep, "label").select(F.col("c").alias("u"), F.col("keep").alias("v"))
     comp = connected_components(edges).select(F.col("node").alias("cluster"), F.col("component").alias("merged"))
@@ -243,9 +255,9 @@ def merge_by_label_stem(spark, d):
     """Groups under one stem become one, in chunks of bounded size."""
     kind = F.when(F.col("vec_id") % 3 == 0, "_upper_body").when(F.col("vec_id") % 3 == 1, "_head_and_shoulders").otherwise("_other")
     named = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.regexp_replace(F.concat(F.lit("G"), F.col("label").cast("string"), kind), "_(upper_body|head_and_shoulders)$", "_person").alias("stem"))
-    order = Window.partitionBy("stem").orderBy("id")
-    big = named.groupBy("stem").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3")
-    return named.join(big, "stem").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / 12)).groupBy("stem", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    big = named.groupBy("stem").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3").select("stem")
+    numbered = ranking.group_index(named.join(big, "stem"), ["stem"], [F.asc("id")], "i")
+    return numbered.withColumn("chunk", F.floor(F.col("i") / 12)).groupBy("stem", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
 @query(_WALK + ", s AS (SELECT id, component, ((id * 37) % 100) / 100.0 AS score FROM comp), v AS (SELECT *, sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY component) - CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS votes FROM s) SELECT id, component, votes::BIGINT AS votes FROM v WHERE votes > 0")
@@ -285,4 +297,4 @@ def similarity_matrix(spark, d):
     cent = _cent(_rows(spark, d))
     a = cent.select(F.col("label").alias("a"), F.col("centroid").alias("va"))
     b = cent.select(F.col("label").alias("b"), F.col("centroid").alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") <= F.col("b")).select("a", "b", F.round(vec.dot(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    return a.join(small(b), F.col("a") <= F.col("b")).select("a", "b", F.round(vec.dot(F.col("va"), F.col("vb")), 6).alias("similarity"))

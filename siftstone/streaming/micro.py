@@ -44,13 +44,15 @@ def latest_result(stream: DataFrame) -> DataFrame:
     place = work_dir(spark)
     schema = stream.schema
 
+    written: list[int] = []  # a batch without data may write nothing
+
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/v={number}")
+        written.append(number)
 
     query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(schema).parquet(f"{place}/v={last}")
+    return spark.read.schema(schema).parquet(f"{place}/v={written[-1]}") if written else spark.createDataFrame([], schema)
 
 
 def upsert_latest(stream: DataFrame, key: str, seq: str) -> DataFrame:
@@ -63,14 +65,17 @@ def upsert_latest(stream: DataFrame, key: str, seq: str) -> DataFrame:
     place = work_dir(spark)
     schema = stream.schema
 
+    written: list[int] = []
+
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch
-        if number > 0:
-            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{place}/v={number - 1}"))
+        earlier = [v for v in written if v < number]
+        if earlier:
+            rows = rows.unionByName(batch.sparkSession.read.schema(schema).parquet(f"{place}/v={earlier[-1]}"))
         latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(seq)).alias("r")).select("r.*")
         latest.write.mode("overwrite").parquet(f"{place}/v={number}")
+        written.append(number)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(schema).parquet(f"{place}/v={last}")
+    return spark.read.schema(schema).parquet(f"{place}/v={written[-1]}") if written else spark.createDataFrame([], schema)
