@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,13 @@ def sign_bits(v: Column) -> Column:
     return F.transform(v, lambda x: x > (low + high) / 2)
 
 
+def cosine_transform(side: int) -> list[tuple[int, int, float]]:
+    """(coefficient, component, weight) of the orthonormal two-dimensional cosine transform of side x side values, row by row."""
+    scale = lambda u: math.sqrt((1 if u == 0 else 2) / side)
+    one = [[scale(u) * math.cos(math.pi * (2 * x + 1) * u / (2 * side)) for x in range(side)] for u in range(side)]
+    return [(u * side + v, x * side + y, one[u][x] * one[v][y]) for u in range(side) for v in range(side) for x in range(side) for y in range(side)]
+
+
 def concat_weighted(*parts: tuple[Column, float]) -> Column:
     """Parts times their weights, one behind another, as a unit vector."""
     def times(v: Column, w: float) -> Column:

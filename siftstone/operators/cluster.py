@@ -46,6 +46,30 @@ def dbscan(classes: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
     return ids.join(clusters.unionByName(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def folded(commands: list[tuple[str, str, str]]) -> dict[str, str]:
+    """What a list of commands makes of each name that it touches: ("merge", from, into) and ("rename", from, to), in order.
+
+    A merge into a name that has itself become another goes on to that one.
+    """
+    now: dict[str, str] = {}
+    for kind, old, new in commands:
+        if kind not in ("merge", "rename"):
+            raise ValueError(f"no command {kind}")
+        target = now.get(new, new) if kind == "merge" else new
+        source = now.get(old, old)
+        now = {name: target if at == source else at for name, at in now.items()} | {old: target}
+    return now
+
+
+def commanded(rows: DataFrame, column: str, commands: list[tuple[str, str, str]]) -> DataFrame:
+    """`rows` with the names in `column` as the commands leave them."""
+    now = folded(commands)
+    if not now:
+        return rows
+    names = rows.sparkSession.createDataFrame(sorted(now.items()), "_old string, _new string")
+    return rows.join(F.broadcast(names), F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
+
+
 def merge_centroids(rows: DataFrame, limit: float) -> DataFrame:
     """(cluster, merged): repeatedly merge the two nearest centroids below `limit`; the lower number stays.
 

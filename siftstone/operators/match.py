@@ -22,15 +22,20 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return v / np.where(size > 0, size, 1.0)[:, None]
 
 
-def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = None, unit: bool = True) -> DataFrame:
+def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = None, unit: bool = True, least: int = 1, first: tuple[str, int] | None = None) -> DataFrame:
     """(group, centroid, n): the (weighted) mean of each group's vectors, as a unit vector.
 
+    Groups of fewer than `least` rows are left out. With first = (column, k), a group's first k rows by that column stand for it.
     Sums are combined per component before the shuffle.
     """
+    if first is not None:
+        place = F.row_number().over(Window.partitionBy(group).orderBy(first[0]))
+        df = df.withColumn("_place", place).filter(F.col("_place") <= first[1]).drop("_place")
     w = weight if weight is not None else F.lit(1.0)
     each = df.select(group, w.cast("double").alias("_w"), F.posexplode(F.col(vector).cast("array<double>")).alias("_pos", "_x"))
     means = each.groupBy(group, "_pos").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_x"), F.count(F.lit(1)).alias("n"))
     rows = means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda s: s["_x"]).alias("centroid"), F.max("n").alias("n"))
+    rows = rows.filter(F.col("n") >= least) if least > 1 else rows
     return rows.withColumn("centroid", vec.normalise(F.col("centroid"))) if unit else rows
 
 

@@ -20,6 +20,15 @@ def stream_tumbling(spark, d):
     return days.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
+@query("WITH e AS (SELECT event_type, epoch_us(ts) // 43200000000 AS h FROM events), w AS (SELECT event_type, unnest([h, h - 1]) AS h FROM e) SELECT event_type, strftime(make_timestamp(h * 43200000000), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM w GROUP BY ALL")
+def stream_sliding(spark, d):
+    """X11: windows of a day that begin every twelve hours; each row is in two."""
+    e = micro.source(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    rows = e.groupBy(F.window("at", "1 day", "12 hours"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    windows = micro.latest_result(rows.select("event_type", F.col("window.start").alias("start"), "n"))
+    return windows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, d):
     """Each key once, however often it comes."""

@@ -38,6 +38,35 @@ def centroids_weighted(spark, d):
     return _cent(_rows(spark, d), 1.0 + F.col("id") % 5).select("label", F.posexplode("centroid").alias("p", "c")).select("label", (F.col("p") + 1).cast("long").alias("pos"), F.round("c", 6).alias("x"))
 
 
+@query("WITH " + _V + ", r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM e), f AS (SELECT * FROM r WHERE k <= 30 AND label IN (SELECT label FROM r WHERE k <= 30 GROUP BY 1 HAVING count(*) >= 5)), " + _CENT.format(g="label", w="1.0", f="f", where="true") + " SELECT g AS label, i AS pos, round(c[i], 6) AS x FROM c, (SELECT unnest(range(1, 65)) AS i)")
+def centroids_capped(spark, d):
+    """Means of the first 30 rows of each label that has five or more."""
+    cent = match.centroids(_rows(spark, d), "label", "v", least=5, first=("id", 30))
+    return cent.select("label", F.posexplode("centroid").alias("p", "c")).select("label", (F.col("p") + 1).cast("long").alias("pos"), F.round("c", 6).alias("x"))
+
+
+@query("SELECT vec_id AS id, CASE vec_id % 9 WHEN 0 THEN 'ann' WHEN 1 THEN 'cara' WHEN 2 THEN 'cara' WHEN 3 THEN 'dora' WHEN 4 THEN 'cara' ELSE 'n' || vec_id % 9 END AS name FROM embeddings")
+def cluster_commands(spark, d):
+    """Names after a session's commands: clusters merged and renamed, one after another."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("n"), (F.col("vec_id") % 9).cast("string")).alias("name"))
+    return cluster.commanded(rows, "name", [("rename", "n0", "ann"), ("merge", "n1", "n2"), ("rename", "n2", "cara"), ("rename", "n3", "dora"), ("merge", "n4", "n1")])
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT u * 8 + w AS k, x * 8 + y AS n, sqrt(CASE u WHEN 0 THEN 1 ELSE 2 END / 8.0) * cos(pi() * (2 * x + 1) * u / 16) * sqrt(CASE w WHEN 0 THEN 1 ELSE 2 END / 8.0) * cos(pi() * (2 * y + 1) * w / 16) AS c FROM range(8) a(u), range(8) b(w), range(8) p(x), range(8) q(y)),
+t AS (SELECT vec_id, k, sum(v[n + 1] * c) AS s FROM e, m GROUP BY ALL), h AS (SELECT *, median(s) FILTER (k > 0) OVER (PARTITION BY vec_id) AS med FROM t)
+SELECT vec_id, printf('%08x', sum(CASE WHEN k < 32 AND s > med THEN 1::BIGINT << (31 - k)::INT ELSE 0 END)::BIGINT) || printf('%08x', sum(CASE WHEN k >= 32 AND s > med THEN 1::BIGINT << (63 - k)::INT ELSE 0 END)::BIGINT) AS hash FROM h GROUP BY 1
+""")
+def dct_hash(spark, d):
+    """V6 V5: 64 bits of a vector's 8 x 8 cosine transform against the median of all but the first coefficient."""
+    weights = F.broadcast(spark.createDataFrame(vec.cosine_transform(8), "k int, pos int, c double"))  # 4,096 rows
+    each = _rows(spark, d).select(F.col("id").alias("vec_id"), F.posexplode("v").alias("pos", "x")).join(weights, "pos")
+    sums = each.groupBy("vec_id", "k").agg(F.sum(F.col("x") * F.col("c")).alias("s"))
+    coefficients = F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda p: p["s"])
+    rows = sums.groupBy("vec_id").agg(coefficients.alias("t"))
+    return rows.select("vec_id", F.lower(F.lpad(F.hex(vec.pack_bits(vec.sign_bits(F.col("t")))), 16, "0")).alias("hash"))
+
+
 _FIT = "WITH " + _V + ", " + _CENT.format(g="label", w="1.0", f="e", where="id % 2 = 0")
 _DIST = ", q AS (SELECT e.id, c.g AS tid, 1 - " + _DOT.format(a="e.v", b="c.c") + " / sqrt(" + _DOT.format(a="e.v", b="e.v") + ") AS dist FROM e JOIN c ON true WHERE id % 2 = 1)"
 
