@@ -60,23 +60,36 @@ _SPELLED, _SIGN = re.compile(r"[\w@$!*]+"), re.compile(r"[\d@$!*]")
 _ADDRESS = re.compile(r"\b(?:you(?:'re| are| is|r)?|du bist|ihr seid|tu es|t'es|vous êtes|eres|sois)\b")
 _SILENCE = re.compile(r"\b(?:shut up|shut your|go to hell|get lost|halt die|halt's maul|verpiss dich|ta gueule|la ferme|cállate|vete al)\b")
 _THREAT = re.compile(r"\b(?:i(?:'ll| will| am going to)|we(?:'ll| will)|you (?:should|deserve to)|ich werde dich|je vais te|te voy a)\s+(?:\w+\s+){0,2}(?:kill|hurt|hang|beat|burn|shoot|die|umbringen|töten|tuer|frapper|matar|pegar)\b")
-_AGAIN = re.compile(r"\b(\w+)(?:\W+\1\b){3}")
+#: Words of which every text has one that the two patterns before find. Fixed values.
+_SILENCERS = frozenset("shut hell lost halt verpiss gueule ferme cállate vete".split())
+_DEEDS = frozenset("kill hurt hang beat burn shoot die umbringen töten tuer frapper matar pegar".split())
 _ABUSE = frozenset(w for words in LEXICONS.values() for w in words) - set(LEXICONS["threats"])
 _LONGEST = max(map(len, _ABUSE))
 _SETS = tuple(frozenset(words) for words in LEXICONS.values())
 FIXED = (*LEXICONS, "spelled", "insult_and_address", "silence", "threat_frame", "shouting", "again")
 
 
-def terms_of(text: str) -> set[str]:
+def words_of(text: str) -> list[str]:
+    return _LETTERS.findall(text.lower())
+
+
+def terms_of(text: str, words: list[str] | None = None) -> set[str]:
     """Distinct words in lower case, and their beginnings of 4 and 5 letters with a hyphen."""
-    words = set(_LETTERS.findall(text.lower()))
+    words = set(words_of(text) if words is None else words)
     return words | {w[:4] + "-" for w in words} | {w[:5] + "-" for w in words if len(w) > 4}
 
 
 def _spelled(low: str) -> bool:
     """Abuse with signs or digits for letters: id1ot, st*pid."""
-    for word in _SPELLED.findall(low):
-        word = word.strip("!*")
+    done = 0
+    for sign in _SIGN.finditer(low):
+        at = sign.start()
+        if at < done:
+            continue
+        # the word around the sign, as far as a word of abuse may reach
+        found = next(m for m in _SPELLED.finditer(low, max(done, at - _LONGEST - 2), at + _LONGEST + 2) if m.end() > at)
+        done = found.end()
+        word = found.group().strip("!*")
         if len(word) > _LONGEST or not _SIGN.search(word):
             continue
         plain = word.translate(LEET)
@@ -87,12 +100,16 @@ def _spelled(low: str) -> bool:
     return False
 
 
-def fixed_votes(text: str, terms: set[str]) -> list[bool]:
+def fixed_votes(text: str, terms: set[str], words: list[str] | None = None) -> list[bool]:
     """The hits of the voters that stand without labels, in the order of FIXED."""
     low = text.lower()
+    words = words_of(text) if words is None else words
+    silence = not terms.isdisjoint(_SILENCERS) and bool(_SILENCE.search(low))
+    threat = not terms.isdisjoint(_DEEDS) and bool(_THREAT.search(low))
+    again = b"\1\1\1" in bytes(map(str.__eq__, words, words[1:]))
     abuse = not terms.isdisjoint(_ABUSE)
     near = abuse and any(not _ABUSE.isdisjoint(_LETTERS.findall(low[m.end() : m.end() + 60])) for m in _ADDRESS.finditer(low))
-    return [not terms.isdisjoint(words) for words in _SETS] + [_spelled(low), near, bool(_SILENCE.search(low)), bool(_THREAT.search(low)), text.count("!") * 50 > len(text) + 200, bool(_AGAIN.search(low))]
+    return [not terms.isdisjoint(words) for words in _SETS] + [_spelled(low), near, silence, threat, text.count("!") * 50 > len(text) + 200, again]
 
 
 def log_tail(k: int, n: int, p: float) -> float:
@@ -178,9 +195,9 @@ class ToxicityModel:
         self.voters, self.weights, self.bias, self.prior, self.label_model = voters or {}, weights, bias, prior, label_model
         self.number = {t: k for k, t in enumerate(terms or ())}
 
-    def votes(self, text: str, terms: set[str]) -> np.ndarray:
+    def votes(self, text: str, terms: set[str], words: list[str] | None = None) -> np.ndarray:
         out = np.zeros(len(FIXED) + N_MINED, bool)
-        out[: len(FIXED)] = fixed_votes(text, terms)
+        out[: len(FIXED)] = fixed_votes(text, terms, words)
         for t in terms & self.voters.keys():
             out[self.voters[t]] = True
         return out
@@ -191,9 +208,10 @@ class ToxicityModel:
         out = np.full(len(texts), self.bias)
         n = len(self.number)
         for k, t in enumerate(texts):
-            terms = terms_of(t)
+            words = words_of(t)
+            terms = terms_of(t, words)
             numbers = sorted(self.number[x] for x in terms & self.number.keys())
-            out[k] += self.weights[numbers].sum() + self.weights[n:][self.votes(t, terms)].sum()
+            out[k] += self.weights[numbers].sum() + self.weights[n:][self.votes(t, terms, words)].sum()
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
@@ -227,8 +245,9 @@ def _prepared(sample: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            terms = [terms_of(t) for t in texts]
-            fixed = [fixed_votes(t, s) for t, s in zip(texts, terms, strict=True)]
+            words = [words_of(t) for t in texts]
+            terms = [terms_of(t, w) for t, w in zip(texts, words, strict=True)]
+            fixed = [fixed_votes(t, s, w) for t, s, w in zip(texts, terms, words, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("y"), batch.column("fold"), pa.array([sorted(s) for s in terms], pa.list_(pa.string())), pa.array(fixed, pa.list_(pa.bool_()))], ["_id", "y", "fold", "terms", "fixed"])
             give_back()
 
