@@ -122,6 +122,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 #: 5-word shingles, a Jaccard similarity of 0.8 or more.
 SHINGLE, SIMILARITY = 5, 0.8
 SEGMENTS = 5
+#: Share of a text's shingles, those of least hash, that a first comparison reads.
+FIRST = 0.25
 #: Texts, and words of them, that one task searches at once; larger groups are split.
 BLOCK_TEXTS, BLOCK_WORDS = 4096, 1_000_000
 #: Rows that are broadcast at most; longer lists are joined by a shuffle.
@@ -201,6 +203,100 @@ def _similar(batches):
         give_back()
 
 
+def first_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The first FIRST of a text's sorted shingle hashes, one at least; as many, too, as a similar text cannot lack all of."""
+    return hashes[: int(np.ceil(FIRST * len(hashes))) + 1]
+
+
+def at_most(x: np.ndarray, m: int, y: np.ndarray, n: int) -> int:
+    """A bound on the common shingles of two texts of m and n shingles, from their first hashes x and y.
+
+    Up to the lesser end of x and y all shingles of both are known; beyond it, no more are common than the one with fewer has left.
+    """
+    if not len(x) or not len(y):
+        return 0
+    end = min(x[-1], y[-1]) if len(x) < m and len(y) < n else x[-1] if len(x) < m else y[-1] if len(y) < n else max(x[-1], y[-1])
+    i, j = np.searchsorted(x, end, "right"), np.searchsorted(y, end, "right")
+    return len(np.intersect1d(x[:i], y[:j], assume_unique=True)) + int(min(m - i, n - j))
+
+
+def _possible(batches):
+    """Edges whose texts may be similar by their first hashes."""
+    for batch in batches:
+        first = [[np.frombuffer(b, np.uint64) for b in batch.column(c).to_pylist()] for c in ("fu", "fv")]
+        sizes = [batch.column(c).to_pylist() for c in ("nu", "nv")]
+        keep = [at_most(x, m, y, n) >= SIMILARITY / (1 + SIMILARITY) * (m + n) - 1e-6 for x, y, m, n in zip(*first, *sizes, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
+
+
+def _meetings(at: np.ndarray, token: np.ndarray, label: np.ndarray, n: int):
+    """(x, the texts before x that share a token with it) for texts `at` of each token; tokens whose texts have one label are left out."""
+    order = np.argsort(token, kind="stable")
+    at, token = at[order], token[order]
+    if not len(at):
+        return
+    begins = np.flatnonzero(np.r_[True, np.diff(token) > 0])
+    ends = np.r_[begins[1:], len(at)]
+    mixed = np.flatnonzero(np.minimum.reduceat(label[at], begins) != np.maximum.reduceat(label[at], begins))
+    lists: dict[int, list[np.ndarray]] = {}
+    for b, e in zip(begins[mixed], ends[mixed], strict=True):
+        some = np.sort(at[b:e])
+        for x in some[1:]:
+            lists.setdefault(int(x), []).append(some)
+    met = np.zeros(n, bool)
+    for x in sorted(lists):
+        for others in lists[x]:
+            met[others] = True
+        y = np.flatnonzero(met[:x])
+        met[:] = False
+        yield x, y
+
+
+def _may_link(table: pa.Table) -> pa.Table:
+    """The texts of a group (k, anchor, node, component, size, first) that may be similar to one of another component, by their first hashes.
+
+    None is lost: a similar text has one of the first hashes in common, of as many as it cannot lack all of, a fitting size, and enough
+    common shingles by the bound of `at_most`.
+    """
+    size = table.column("size").to_numpy().astype(np.int64)
+    by_size = np.argsort(size, kind="stable")
+    size = size[by_size]
+    first = table.column("first").to_pylist()
+    first = [np.frombuffer(first[k], np.uint64) for k in by_size]
+    label = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)[1][by_size]
+    length = np.array([len(f) for f in first], np.int64)
+    start = np.cumsum(length) - length
+    flat = np.concatenate(first)
+    _, token = np.unique(flat, return_inverse=True)
+    member = np.repeat(np.arange(len(first)), length)
+    looked_up = size - np.ceil(SIMILARITY * size - 1e-6).astype(np.int64) + 1
+    place = np.arange(len(flat)) - start[member]
+    head = place < looked_up[member]
+    last = np.array([f[-1] if len(f) < n else np.iinfo(np.uint64).max for f, n in zip(first, size, strict=True)], np.uint64)
+    kept = np.zeros(len(first), bool)
+    kept[size == 0] = (size == 0).sum() > 1
+    has = np.zeros(token.max(initial=0) + 1, np.int32)
+    for x, y in _meetings(member[head], token[head], label, len(first)):
+        y = y[(label[y] != label[x]) & (size[y] >= SIMILARITY * size[x] - 1e-6)]
+        if not len(y):
+            continue
+        mine = token[start[x] : start[x] + length[x]]
+        has[mine] = 1
+        to = np.cumsum(length[y]) - length[y]
+        theirs = np.arange(length[y].sum()) + np.repeat(start[y] - to, length[y])
+        known = flat[theirs] <= last[x]
+        common = np.add.reduceat(has[token[theirs]] * known, to)
+        has[mine] = 0
+        i, j = np.searchsorted(first[x], last[y], "right"), np.add.reduceat(known, to)
+        fits = common + np.minimum(size[x] - i, size[y] - j) >= SIMILARITY / (1 + SIMILARITY) * (size[x] + size[y]) - 1e-6
+        kept[y[fits]] = True
+        kept[x] |= fits.any()
+    give_back()
+    stay = np.sort(by_size[kept])
+    return table.select(["k", "anchor", "node", "component"]).take(pa.array(stay))
+
+
 def _crossing_links(table: pa.Table) -> pa.Table:
     """Links (u, v) between components, such that all pairs of the table's texts at SIMILARITY are within one then.
 
@@ -230,33 +326,19 @@ def _crossing_links(table: pa.Table) -> pa.Table:
     order = np.lexsort((token, texts[token], member))
     looked_up = size - np.ceil(SIMILARITY * size - 1e-6).astype(np.int64) + 1
     order = order[(np.arange(len(order)) - start[member] < looked_up[member]) & (texts[token[order]] > 1)]
-    order = order[np.argsort(token[order], kind="stable")]
-    if len(order):
-        at = member[order]
-        begins = np.flatnonzero(np.r_[True, np.diff(token[order]) > 0])
-        ends = np.r_[begins[1:], len(order)]
-        mixed = np.flatnonzero(np.minimum.reduceat(label[at], begins) != np.maximum.reduceat(label[at], begins))
-        lists: dict[int, list[np.ndarray]] = {}
-        for b, e in zip(begins[mixed], ends[mixed], strict=True):
-            for x in at[b + 1 : e]:
-                lists.setdefault(int(x), []).append(at[b:e])
-        met, has = np.zeros(len(size), bool), np.zeros(len(texts), np.int32)
-        for x in sorted(lists):
-            for others in lists[x]:
-                met[others] = True
-            y = np.flatnonzero(met[:x])
-            met[:] = False
-            y = y[(label[y] != label[x]) & (size[y] >= SIMILARITY * size[x] - 1e-6)]
-            if visited:
-                y = y[home[y] != home[x]]
-            if not len(y):
-                continue
-            mine = token[start[x] : start[x] + size[x]]
-            has[mine] = 1
-            to = np.cumsum(size[y]) - size[y]
-            common = np.add.reduceat(has[token[np.arange(size[y].sum()) + np.repeat(start[y] - to, size[y])]], to)
-            has[mine] = 0
-            link(x, y[common >= SIMILARITY * (size[x] + size[y] - common) - 1e-9])
+    has = np.zeros(len(texts), np.int32)
+    for x, y in _meetings(member[order], token[order], label.copy(), len(size)):
+        y = y[(label[y] != label[x]) & (size[y] >= SIMILARITY * size[x] - 1e-6)]
+        if visited:
+            y = y[home[y] != home[x]]
+        if not len(y):
+            continue
+        mine = token[start[x] : start[x] + size[x]]
+        has[mine] = 1
+        to = np.cumsum(size[y]) - size[y]
+        common = np.add.reduceat(has[token[np.arange(size[y].sum()) + np.repeat(start[y] - to, size[y])]], to)
+        has[mine] = 0
+        link(x, y[common >= SIMILARITY * (size[x] + size[y] - common) - 1e-9])
     give_back()
     return pa.table({"u": pa.array([names[a] for a, _ in links], pa.string()), "v": pa.array([names[b] for _, b in links], pa.string())})
 
@@ -266,19 +348,39 @@ def _limited(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _shingle_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, shingles) of `texts` (node, least), read from `docs` again: the sorted, distinct hashes of the shingles."""
+def _of_texts(docs: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
+    """What `run` makes of (node, text) of `texts` (node, least), read from `docs` again."""
     least = F.lit(-(2**63))
     needed = checkpointed(texts.select("node", F.coalesce("least", least).alias("id")))
+    chosen = id_and_text(docs).select(F.coalesce("doc_id", least).alias("id"), "text").join(_limited(needed.select("id").distinct()), "id", "left_semi")
+    return checkpointed(chosen.select("id", "text", text_id("text").alias("node")).join(_limited(needed), ["id", "node"], "left_semi").select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"]))
+
+
+def _hashes_of(batch) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(words_of(t or b""), SHINGLE)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
 
-    def shingles(batches):
+def _shingle_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, shingles) of `texts`: the sorted, distinct hashes of the shingles."""
+
+    def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t or b""), SHINGLE)).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in _hashes_of(batch)], pa.binary())], ["node", "shingles"])
             give_back()
 
-    chosen = id_and_text(docs).select(F.coalesce("doc_id", least).alias("id"), "text").join(_limited(needed.select("id").distinct()), "id", "left_semi")
-    return checkpointed(chosen.select("id", "text", text_id("text").alias("node")).join(_limited(needed), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(shingles, "node string, shingles binary"))
+    return _of_texts(docs, texts, run, "node string, shingles binary")
+
+
+def _first_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, size, first) of `texts`: how many distinct shingles they have, and the first hashes of them."""
+
+    def run(batches):
+        for batch in batches:
+            sets = _hashes_of(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([first_hashes(s).tobytes() for s in sets], pa.binary())], ["node", "size", "first"])
+            give_back()
+
+    return _of_texts(docs, texts, run, "node string, size long, first binary")
 
 
 def _group_sizes(members: DataFrame, by: list[str]) -> DataFrame:
@@ -336,27 +438,36 @@ def _dealt(members: DataFrame, groups: DataFrame) -> DataFrame:
     return home.union(visits)
 
 
-def _links_of_anchors(docs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _links_of_anchors(docs: DataFrame, texts: DataFrame, firsts: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(u, v): links between components of `texts` among those that share an anchor; None if no anchor has two components.
 
+    Of a group, only the texts that may link by their first hashes are compared by whole sets.
     A group beyond one task's bounds is split by its texts' rarest shingles, each with its own, smaller list of texts,
     as texts of one passage and else different share none of them. Lists of one component are dropped, as are groups.
+    `firsts` and `sets` are of texts that have been read before.
     """
     members = checkpointed(texts.select(F.posexplode("anchors").alias("k", "anchor"), "node", "component", "words"))
     groups = checkpointed(_group_sizes(members, ["k", "anchor"]).filter("n > 2"))
     if groups.isEmpty():
         return None
-    needed = members.join(_limited(groups.select("k", "anchor")), ["k", "anchor"], "left_semi").select("node").distinct()
-    missing = texts.join(needed, "node", "left_semi").join(sets, "node", "left_anti")
-    all_sets = checkpointed(sets.union(_shingle_sets(docs, missing)))
     bounded = (F.col("n") <= BLOCK_TEXTS) & (F.col("words") <= BLOCK_WORDS)
-    dealt = _dealt(members.withColumn("token", F.lit(0).cast("long")), groups.filter(bounded).withColumn("token", F.lit(0).cast("long")))
-    large = groups.filter(~bounded).select("k", "anchor")
+    of = lambda some: members.join(_limited(some.select("k", "anchor")), ["k", "anchor"], "left_semi")
+    unread = lambda some, known: texts.join(some.select("node").distinct(), "node", "left_semi").join(known, "node", "left_anti")
+    small = checkpointed(of(groups.filter(bounded)).drop("words"))
+    all_firsts = firsts.unionByName(_first_sets(docs, unread(small, firsts)))
+    may = small.join(all_firsts, "node").groupBy("k", "anchor").applyInArrow(_may_link, "k int, anchor long, node string, component string")
+    by = ["k", "anchor", "token"]
+    block = [*by, "i", "j", "home"]
+    dealt = checkpointed(may.select("k", "anchor", F.lit(0).cast("long").alias("token"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("home"), "node", "component"))
+    all_sets = sets.unionByName(_shingle_sets(docs, unread(dealt, sets)))
+    large = groups.filter(~bounded)
     if not large.isEmpty():
-        lists = checkpointed(_prefix_tokens(members.join(_limited(large), ["k", "anchor"], "left_semi"), all_sets))
-        dealt = dealt.union(_dealt(lists, _group_sizes(lists, ["k", "anchor", "token"])))
-    found = dealt.join(all_sets, "node").select("k", "anchor", "token", "i", "j", "home", "component", "shingles")
-    return found.groupBy("k", "anchor", "token", "i", "j").applyInArrow(_crossing_links, "u string, v string")
+        crowd = checkpointed(of(large))
+        all_sets = all_sets.unionByName(_shingle_sets(docs, unread(crowd, all_sets)))
+        lists = checkpointed(_prefix_tokens(crowd, all_sets))
+        dealt = dealt.unionByName(_dealt(lists, _group_sizes(lists, by)).select(*block, "node", "component"))
+    found = dealt.join(all_sets, "node").select(*block, "component", "shingles")
+    return found.groupBy(*by, "i", "j").applyInArrow(_crossing_links, "u string, v string")
 
 
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -367,7 +478,8 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     come from five segments of a SimHash of the distinct words. Each is taken with an anchor,
     the 3-word shingle of least hash, as its key is short; a text has all Golay keys of a segment,
     27 in all. Texts that share a key are candidates; at a similarity of 0.8 a pair shares one
-    with a probability over 0.99. Links are verified by the exact similarity of the whole texts' shingle sets.
+    with a probability over 0.99. Links are verified by the exact similarity of the whole texts' shingle sets, after
+    a first comparison of the quarter of least hashes (`at_most`) that no similar pair fails.
 
     The texts of a key are first held against the least of them: one edge a text and key, whatever the group's size, and the
     same least text under most keys of a crowd. That joins the most of a crowd. What may still be apart shares its anchor,
@@ -381,13 +493,16 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("u")).filter("n > 1").select("key", "u")
     edges = checkpointed(keyed.join(met, "key").filter("u <> node").select("u", F.col("node").alias("v")).distinct())
 
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    sets = _shingle_sets(docs, texts.join(ends, "node", "left_semi"))
-    both = edges.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
-    links = both.select("u", "v", "su", "sv").mapInArrow(_similar, "u string, v string")
+    ends = lambda edges: texts.join(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct(), "node", "left_semi")
+    firsts = _first_sets(docs, ends(edges))
+    side = lambda end: firsts.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("first").alias(f"f{end}"))
+    near = checkpointed(edges.join(side("v"), "v").join(side("u"), "u").select("u", "v", "nu", "nv", "fu", "fv").mapInArrow(_possible, "u string, v string"))
+    sets = _shingle_sets(docs, ends(near))
+    whole = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
+    links = near.join(whole("v"), "v").join(whole("u"), "u").select("u", "v", "su", "sv").mapInArrow(_similar, "u string, v string")
     roots = checkpointed(connected_components(links))
     linked = checkpointed(texts.drop("segments").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    more = _links_of_anchors(docs, linked, sets)
+    more = _links_of_anchors(docs, linked, firsts, sets)
     components = linked.select("node", "least", "component")
     if more is not None:
         joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
