@@ -6,7 +6,7 @@ inner nodes hold the minimum of (rank, position); the root is the leftmost pair
 lowest rank. A merge changes three leaves (the pair itself, the one before, the
 one it swallows) and the paths above them, so a pre-token of n bytes takes
 O(n log n) steps. The trees of many pre-tokens of one size class are held as
-one array and step together; those of a class of few pre-tokens, such as one very long word, are
+one array and step together; few pre-tokens of a class of long ones are
 stepped one by one on lists.
 
 Results are defined for every input: a null text counts as empty; an empty text
@@ -23,15 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftstone.llm.common import give_back, id_and_text, pieces
+from siftstone.llm.common import Kept, give_back, id_and_text, pieces
 from siftstone.llm.pairs import PairTable
 
 #: Unicode's White_Space characters, as the pattern's \s has them. Fixed values.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Encoded runs that a worker keeps, twice: those met lately, and those met in the time before; none of more characters than LONGEST.
 KEPT, LONGEST = 60_000, 128
-#: Pre-tokens of a size class that are merged one by one.
-FEW = 8
+#: Pre-tokens of a size class of LONG bytes or more that are merged one by one, if there are no more.
+FEW, LONG = 8, 1024
 _NONE = np.int64(1) << np.int64(62)
 
 
@@ -43,13 +43,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class SegmentTreeBPE:
     """An encoder for one rank file and pattern; `shared()` keeps one per worker."""
 
-    _made: dict = {}
-
     @classmethod
     def shared(cls, path: str, pattern: str) -> SegmentTreeBPE:
-        if (path, pattern) not in cls._made:
-            cls._made[path, pattern] = cls(load_ranks(path), pattern)
-        return cls._made[path, pattern]
+        return _ENCODERS.get(path, pattern)
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import re
@@ -81,7 +77,7 @@ class SegmentTreeBPE:
         classes = np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 1)))).astype(int)
         for c in np.unique(classes) if len(words) else ():
             rows = np.flatnonzero(classes == c)
-            if len(rows) <= FEW:
+            if len(rows) <= FEW and 1 << int(c) >= LONG:
                 for i in rows:
                     out[i] = self._merge_one(words[i], 1 << int(c))
                 continue
@@ -234,6 +230,7 @@ class SegmentTreeBPE:
         return b"".join(map(self.tokens.__getitem__, np.asarray(ids).tolist()))
 
 
+_ENCODERS = Kept(lambda path, pattern: SegmentTreeBPE(load_ranks(path), pattern))
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 
@@ -244,8 +241,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches):
-        bpe = SegmentTreeBPE.shared(path, pattern)
         for batch in batches:
+            bpe = SegmentTreeBPE.shared(path, pattern)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n, ids_sha, out_sha, same = [], [], [], []
             for a, b in pieces(texts, 1_000_000):

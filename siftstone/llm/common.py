@@ -73,17 +73,38 @@ def held_out(doc_id="doc_id"):
 
 
 _given_back = 0.0
+#: Seconds after which a worker drops what an operator keeps from batch to batch, if it does not come back to it.
+IDLE = 10.0
+
+
+class Kept:
+    """What an operator's workers keep: one object for each key, made when first asked for."""
+
+    all: list[Kept] = []
+
+    def __init__(self, make):
+        self.make, self.made, self.used = make, {}, 0.0
+        Kept.all.append(self)
+
+    def get(self, *key):
+        self.used = time.monotonic()
+        if key not in self.made:
+            self.made[key] = self.make(*key)
+        return self.made[key]
 
 
 def give_back() -> None:
     """Return a Python worker's free memory to the machine, once a second at most.
 
-    Workers outlive their tasks, and the allocators would keep what a batch has used.
+    Workers outlive their tasks and serve other operators, and the allocators would keep what a batch has used.
     """
     global _given_back
     if time.monotonic() - _given_back < 1.0:
         return
     _given_back = time.monotonic()
+    for kept in Kept.all:
+        if _given_back - kept.used > IDLE:
+            kept.made.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

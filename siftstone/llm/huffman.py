@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import id_and_text, pieces, stored
+from siftstone.llm.common import Kept, id_and_text, pieces, stored
 
 END = 1
 LIMIT = 17
@@ -67,16 +67,13 @@ class ChunkEncoder:
     chunks go together, parted by an added token, at which it splits before anything else.
     """
 
-    _made: dict = {}
     #: Letters whose lower case is one letter and whose composed form is their own. Fixed values.
     LETTERS = "a-z\xdf-\xf6\xf8-\xff"
     UPPER = "A-Z\xc0-\xd6\xd8-\xde"
 
     @classmethod
     def shared(cls, path: str) -> ChunkEncoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return _ENCODERS.get(path)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -165,6 +162,9 @@ class ChunkEncoder:
         return out
 
 
+_ENCODERS = Kept(ChunkEncoder)
+
+
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): ids of the whole text with the end id, 16 bits each."""
 

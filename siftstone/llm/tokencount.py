@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftstone.llm.common import id_and_text, pieces
+from siftstone.llm.common import Kept, id_and_text, pieces
 from siftstone.llm.pairs import PairTable
 
 #: The mark that stands for a space in the model's pieces. Fixed value.
@@ -32,13 +32,9 @@ _NONE = np.int64(1) << np.int64(40)
 
 
 class RankSynchronousCounter:
-    _made: dict = {}
-
     @classmethod
     def shared(cls, path: str) -> RankSynchronousCounter:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return _COUNTERS.get(path)
 
     def __init__(self, path: str):
         import sentencepiece
@@ -169,6 +165,9 @@ class RankSynchronousCounter:
         return out
 
 
+_COUNTERS = Kept(RankSynchronousCounter)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each document; no shuffle."""
 
