@@ -24,6 +24,8 @@ its docstring.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -348,39 +350,35 @@ def _limited(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _of_texts(docs: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
-    """What `run` makes of (node, text) of `texts` (node, least), read from `docs` again."""
+def _of_texts(docs: DataFrame, texts: DataFrame, columns: dict[str, tuple[str, pa.DataType, Callable]]) -> DataFrame:
+    """(node, columns) of `texts` (node, least), read from `docs` again: each column is a function of a text's sorted, distinct shingle hashes.
+
+    One pass of Python gives the name of a text with what is made of it; texts that share an id, but are not asked for, go afterwards.
+    """
     least = F.lit(-(2**63))
     needed = checkpointed(texts.select("node", F.coalesce("least", least).alias("id")))
-    chosen = id_and_text(docs).select(F.coalesce("doc_id", least).alias("id"), "text").join(_limited(needed.select("id").distinct()), "id", "left_semi")
-    return checkpointed(chosen.select("id", "text", text_id("text").alias("node")).join(_limited(needed), ["id", "node"], "left_semi").select("node", "text").mapInArrow(run, schema).dropDuplicates(["node"]))
 
+    def run(batches):
+        for batch in batches:
+            raw = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            sets = [np.unique(shingle_hashes(words_of(t), SHINGLE)) for t in raw]
+            made = [pa.array([f(s) for s in sets], kind) for _, kind, f in columns.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in raw], pa.string()), *made], ["id", "node", *columns])
+            give_back()
 
-def _hashes_of(batch) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes(words_of(t or b""), SHINGLE)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    schema = ", ".join(["id long", "node string", *(f"{name} {kind}" for name, (kind, _, _) in columns.items())])
+    chosen = id_and_text(docs).select(F.coalesce("doc_id", least).alias("id"), "text").join(_limited(needed.select("id").distinct()), "id", "left_semi")
+    return checkpointed(chosen.mapInArrow(run, schema).join(_limited(needed), ["id", "node"], "left_semi").drop("id").dropDuplicates(["node"]))
 
 
 def _shingle_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, shingles) of `texts`: the sorted, distinct hashes of the shingles."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in _hashes_of(batch)], pa.binary())], ["node", "shingles"])
-            give_back()
-
-    return _of_texts(docs, texts, run, "node string, shingles binary")
+    return _of_texts(docs, texts, {"shingles": ("binary", pa.binary(), lambda s: s.tobytes())})
 
 
 def _first_sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, size, first) of `texts`: how many distinct shingles they have, and the first hashes of them."""
-
-    def run(batches):
-        for batch in batches:
-            sets = _hashes_of(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([first_hashes(s).tobytes() for s in sets], pa.binary())], ["node", "size", "first"])
-            give_back()
-
-    return _of_texts(docs, texts, run, "node string, size long, first binary")
+    return _of_texts(docs, texts, {"size": ("long", pa.int64(), len), "first": ("binary", pa.binary(), lambda s: first_hashes(s).tobytes())})
 
 
 def _group_sizes(members: DataFrame, by: list[str]) -> DataFrame:
