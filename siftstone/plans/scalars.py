@@ -187,8 +187,8 @@ def event_struct(spark, d):
 
 @query("SELECT page_id, base64(url::BLOB) AS b64, url_encode(url) AS quoted FROM pages")
 def encode_payload(spark, d):
-    """base64 and URL quoting."""
-    return table(spark, d, "pages").select("page_id", F.base64(F.col("url").cast("binary")).alias("b64"), F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20")).alias("quoted"))
+    """base64 in one line and URL quoting."""
+    return table(spark, d, "pages").select("page_id", tx.base64_line(F.col("url").cast("binary")).alias("b64"), tx.url_quoted(F.col("url")).alias("quoted"))
 
 
 @query("SELECT p_partkey, greatest(0, p_size - 12)::INT AS x1, greatest(0, p_size - 3)::INT AS y1, least(60, p_size + 12)::INT AS x2, least(45, p_size + 21)::INT AS y2 FROM part")
