@@ -37,6 +37,17 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded in binary, halves away from zero, as SQL engines round doubles; Spark's round goes by the shortest decimal form.
+
+    What cannot be scaled (infinite, not a number, too large) stays.
+    """
+    scaled = F.abs(x) * 10.0**digits
+    rest = scaled % 1.0
+    out = F.signum(x) * (scaled - rest + F.when(rest >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+    return F.when(F.isnan(out), x).otherwise(out)
+
+
 def geometric_mean(*terms: Column) -> Column:
     """exp of the mean logarithm; each term gets 1e-3 so that none is zero."""
     return F.exp(sum((F.ln(t + 1e-3) for t in terms), F.lit(0.0)) / len(terms))

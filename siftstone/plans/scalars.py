@@ -32,7 +32,7 @@ def quality_weighted(spark, d):
     """M2: a weighted sum of terms."""
     cap = lambda x: F.least(F.lit(1.0), x)
     score = rules.weighted_sum([(cap(F.log1p("l_quantity") / F.ln(F.lit(51.0))), 0.4), (cap(F.col("l_extendedprice") / 60000), 0.3), (cap(F.col("l_discount") * 10), 0.2), (1 - F.abs(F.col("l_tax") - 0.04) / 0.04, 0.1)])
-    return _lines(spark, d).select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
+    return _lines(spark, d).select("l_orderkey", "l_linenumber", rules.rounded(score, 6).alias("score"))
 
 
 @query("WITH " + _LINES + " SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity >= 10 THEN greatest(0, least(1, least(0.5, l_quantity * 0.02) + least(0.4, l_discount * 5) - CASE WHEN l_returnflag = 'R' THEN 0.3 ELSE 0 END - CASE WHEN l_tax > 0.06 THEN 0.15 ELSE 0 END)) ELSE 0 END, 6) AS score FROM l")
