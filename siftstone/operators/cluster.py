@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.operators import ranking
+from siftstone.operators import match, ranking
 from siftstone.operators.graph import checkpointed, connected_components
 
 
-#: Centroids that one task merges, and rows of a group whose order decides, at most.
+#: Centroids that one task merges, and rows of a group that one task splits, at most.
 MERGED, GROUP = 2000, 20_000
 
 
@@ -99,31 +103,79 @@ def merge_centroids(rows: DataFrame, limit: float) -> DataFrame:
     return rows.select("cluster", "centroid", "n").groupBy(F.lit(0).alias("k")).applyInPandas(run, "cluster int, merged int")
 
 
-def clique_split(members: DataFrame, limit: float) -> DataFrame:
-    """(component, id, clique): in order of id, a row joins the first clique all of whose members are within `limit`.
+def _classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows (component, id, class) of members (component, id, v), and classes (component, id, v, n) of equal vectors, named by their least id.
 
-    Order decides within a component, so that is one task's work; a component of more than GROUP rows raises an error.
+    A vector that is zero, null or not finite is near none, not even one equal to it: each such row is a class of its own.
     """
+    v = F.coalesce(F.col("v").cast("array<double>"), F.array().cast("array<double>"))
+    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    alone = F.when((size > 0) & (size < float("inf")), "").otherwise(F.col("id").cast("string"))
+    rows = members.select("component", "id", v.alias("v")).withColumn("alone", alone)
+    classes = checkpointed(rows.groupBy("component", "v", "alone").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")))
+    found = rows.join(classes.select("component", "v", "alone", "class"), ["component", "v", "alone"]).select("component", "id", "class")
+    return found, classes.select("component", F.col("class").alias("id"), "v", "n", (F.col("alone") == "").alias("linked"))
+
+
+def _links(classes: DataFrame, limit: float, links: DataFrame | None) -> DataFrame:
+    """(a, b, dist) of classes of one component at distance `limit` or less: `links`, if they are known already."""
+    if links is None:
+        links = match.vector_pairs(classes.filter("linked").select("component", "id", "v"), limit, ["component"])
+    return checkpointed(links.select("a", "b", "dist").filter(F.col("dist") <= limit))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bounded(len(pdf))
-        pdf = pdf.sort_values("id")
-        v = np.array(pdf.v.tolist(), np.float64)
-        v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
-        cliques: list[list[int]] = []
-        out = np.zeros(len(pdf), int)
-        for k in range(len(pdf)):
-            for c, some in enumerate(cliques):
-                if (1 - v[some] @ v[k] <= limit).all():
-                    some.append(k)
-                    out[k] = c
-                    break
-            else:
-                out[k] = len(cliques)
-                cliques.append([k])
-        return pd.DataFrame({"component": pdf.component.to_numpy(), "id": pdf.id.to_numpy(), "clique": out})
 
-    return members.select("component", "id", "v").groupBy("component").applyInPandas(run, "component long, id long, clique int")
+def clique_split(members: DataFrame, limit: float, links: DataFrame | None = None) -> DataFrame:
+    """(component, id, clique): in order of id, a row joins the first clique all of whose members are within `limit`.
+
+    Equal rows join one clique, so classes stand for them. A class fits a clique if as many of its lesser neighbours are in it
+    as it has members: so each component's links pass through one task in order, which keeps a number for each class, not the
+    links. links (a, b, dist) of classes, named by their least id, are computed if not given.
+    """
+    rows, classes = _classes(members)
+    links = _links(classes, limit, links)
+    near = links.select(F.col("b").alias("id"), F.col("a").alias("other")).join(classes.select("component", "id"), "id")
+    steps = classes.select("component", "id", F.lit(None).cast("long").alias("other")).unionByName(near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component = now = None
+        clique: dict[int, int] = {}
+        sizes: list[int] = []
+        met: Counter = Counter()
+        out: list[tuple[int, int, int]] = []
+
+        def settle() -> None:
+            at = min((c for c, n in met.items() if n == sizes[c]), default=len(sizes))
+            if at == len(sizes):
+                sizes.append(0)
+            sizes[at] += 1
+            clique[now] = at
+            out.append((component, now, at))
+            met.clear()
+
+        def table() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["component", "id", "clique"])
+
+        for batch in batches:
+            for group, id_, other in zip(*(batch.column(c).to_pylist() for c in ("component", "id", "other")), strict=True):
+                if id_ != now or group != component:
+                    if now is not None:
+                        settle()
+                    if group != component:
+                        clique.clear()
+                        sizes.clear()
+                    component, now = group, id_
+                if other is not None:
+                    met[clique[other]] += 1
+            if out:
+                yield table()
+        if now is not None:
+            settle()
+            yield table()
+
+    settled = steps.repartition("component").sortWithinPartitions("component", "id").mapInArrow(run, "component long, id long, clique int")
+    return rows.join(settled.withColumnRenamed("id", "class"), ["component", "class"]).select("component", "id", "clique")
 
 
 def recluster(members: DataFrame, eps: float, largest: int, shrink: float = 0.62, floor: float = 0.012, depth: int = 8) -> DataFrame:

@@ -194,7 +194,8 @@ _WALK = _NEAR + ", b AS (SELECT a AS id, b AS o FROM n UNION ALL SELECT b, a FRO
 @query()
 def clique_split(spark, d):
     """Components parted into groups that are near all with all."""
-    return cluster.clique_split(_members(spark, d)[0], EPS)
+    rows, pairs, _ = _members(spark, d)
+    return cluster.clique_split(rows, EPS, pairs)
 
 
 @query()
