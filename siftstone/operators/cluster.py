@@ -15,13 +15,8 @@ from siftstone.operators import match, ranking
 from siftstone.operators.graph import checkpointed, connected_components
 
 
-#: Centroids that one task merges, and rows of a group that one task splits, at most.
-MERGED, GROUP = 2000, 20_000
-
-
-def bounded(n: int) -> None:
-    if n > GROUP:
-        raise ValueError(f"a group of {n} rows is one task's work here, {GROUP} at most")
+#: Centroids that one task merges at most.
+MERGED = 2000
 
 
 def numbered(components: DataFrame) -> DataFrame:
@@ -178,39 +173,42 @@ def clique_split(members: DataFrame, limit: float, links: DataFrame | None = Non
     return rows.join(settled.withColumnRenamed("id", "class"), ["component", "class"]).select("component", "id", "clique")
 
 
-def recluster(members: DataFrame, eps: float, largest: int, shrink: float = 0.62, floor: float = 0.012, depth: int = 8) -> DataFrame:
+def recluster(members: DataFrame, eps: float, largest: int, shrink: float = 0.62, floor: float = 0.012, depth: int = 8, links: DataFrame | None = None) -> DataFrame:
     """(component, id, part): groups of over `largest` rows split at ever smaller eps, at last in chunks by id.
 
-    A component's distances are one task's matrix; one of more than GROUP rows raises an error.
+    Parts at a smaller eps are components of the links within it, so each level is one run of `connected_components` over what is
+    still too large, with classes for equal rows; no group meets in one task. Parts are numbered level by level, in order of
+    the least ids on their way. links (a, b, dist) of classes, named by their least id, are computed if not given.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bounded(len(pdf))
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        v = np.array(pdf.v.tolist(), np.float64)
-        v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
-        part = np.full(len(pdf), -1)
-        count = 0
-        todo = [(np.arange(len(pdf)), eps, 0)]
-        while todo:
-            rows, e, level = todo.pop(0)
-            if len(rows) <= largest:
-                part[rows] = count
-                count += 1
-            elif level >= depth or e <= floor * 1.05:
-                for k in range(0, len(rows), largest):
-                    part[rows[k : k + largest]] = count
-                    count += 1
-            else:
-                e = max(floor, e * shrink)
-                near = 1 - v[rows] @ v[rows].T <= e
-                label = np.arange(len(rows))
-                while True:
-                    new = np.array([label[n].min() for n in near])
-                    if (new == label).all():
-                        break
-                    label = new
-                todo.extend((rows[label == x], e, level + 1) for x in np.unique(label))
-        return pd.DataFrame({"component": pdf.component, "id": pdf.id, "part": part})
-
-    return members.select("component", "id", "v").groupBy("component").applyInPandas(run, "component long, id long, part long")
+    widths = [eps]
+    while len(widths) <= depth and widths[-1] > floor * 1.05:
+        widths.append(max(floor, widths[-1] * shrink))
+    rows, classes = _classes(members)
+    links = _links(classes, widths[1] if len(widths) > 1 else eps, links)
+    left = classes.select("component", F.col("id").alias("class"), "n", F.col("component").alias("at"), F.array().cast("array<long>").alias("way"))
+    done = []
+    for level, width in enumerate(widths):
+        if level:
+            inner = links.filter(F.col("dist") <= width).join(left.select(F.col("class").alias("a")), "a", "left_semi")
+            found = connected_components(inner.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("class"), F.col("component").alias("_to"))
+            to = F.coalesce("_to", "class")
+            left = left.join(found, "class", "left").select("component", "class", "n", to.alias("at"), F.array_append("way", to).alias("way"))
+        sizes = left.groupBy("component", "at").agg(F.sum("n").alias("size"))
+        left = checkpointed(left.join(sizes, ["component", "at"]))
+        done.append(left.filter(F.col("size") <= largest).select("component", "class", F.lit(level).alias("level"), "way"))
+        left = left.filter(F.col("size") > largest).drop("size")
+        if left.isEmpty():
+            break
+    whole = done[0]
+    for some in done[1:]:
+        whole = whole.unionByName(some)
+    placed = rows.join(whole, ["component", "class"]).select("component", "id", "level", "way", F.lit(0).cast("long").alias("chunk"))
+    if not left.isEmpty():
+        rest = rows.join(left, ["component", "class"]).select("component", "at", "id", "way")
+        chunk = F.floor(F.col("_i") / largest).alias("chunk")
+        cut = ranking.group_index(rest, ["component", "at"], [F.asc("id")], "_i").select("component", "id", F.lit(len(widths) - 1).alias("level"), "way", chunk)
+        placed = placed.unionByName(cut)
+    placed = checkpointed(placed)
+    key = ["component", "level", "way", "chunk"]
+    parts = ranking.group_index(placed.select(*key).distinct(), ["component"], [F.asc(k) for k in key[1:]], "part")
+    return placed.join(parts, key).select("component", "id", F.col("part").cast("int").alias("part"))

@@ -201,7 +201,8 @@ def clique_split(spark, d):
 @query()
 def recluster_oversize(spark, d):
     """Groups that are too large split at smaller distances."""
-    return cluster.recluster(_members(spark, d)[0], EPS, 4)
+    rows, pairs, _ = _members(spark, d)
+    return cluster.recluster(rows, EPS, 4, links=pairs)
 
 
 @query(_WALK + ", s AS (SELECT component, count(*) AS n, min(id) AS first FROM comp GROUP BY 1 HAVING count(*) >= 2) SELECT component, n, 'person_' || lpad(row_number() OVER (ORDER BY n DESC, first)::VARCHAR, greatest(3, length(row_number() OVER (ORDER BY n DESC, first)::VARCHAR))::INT, '0') AS name FROM s")
