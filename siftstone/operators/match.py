@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +14,10 @@ from siftstone.operators.graph import checkpointed, small
 
 #: Vectors of a block when all pairs are compared, and rows of it that one matrix product takes.
 BLOCK, STRIP = 8192, 512
-#: Targets that are broadcast at most.
-TARGETS = 4096
+#: Targets that are broadcast at most; more are met by matrix products, which need no row for each pair.
+TARGETS = 64
+#: Pairs whose distances are taken again, exactly, at a time.
+PAIRS = 65_536
 
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
@@ -22,6 +26,39 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return v / np.where(size > 0, size, 1.0)[:, None]
 
 
+def _first_of_equal(t: pa.Table, k: int) -> pa.Table:
+    """Of rows (tid, t), the first k of each vector, in order of tid: what no row's k nearest can lack."""
+    t = t.sort_by("tid")
+    seen: Counter = Counter()
+    keep = []
+    for v in t.column("t").to_pylist():
+        key = tuple(v)
+        seen[key] += 1
+        keep.append(seen[key] <= k)
+    return t.filter(pa.array(keep, pa.bool_()))
+
+
+def _block_best(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, target, distance) of the k nearest y of each x, ties to the first; x and y hold unit vectors.
+
+    A matrix product's last bits depend on a vector's place, so what it finds within 1e-9 of the k-th is measured again row by row.
+    """
+    rows, found, dist = [], [], []
+    for s in range(0, len(x), STRIP):
+        d = 1.0 - x[s : s + STRIP] @ y.T
+        last = min(k, d.shape[1]) - 1
+        bound = np.partition(d, last, axis=1)[:, last] + 1e-9
+        at, to = np.nonzero(d <= np.where(np.isnan(bound), np.inf, bound)[:, None])
+        exact = np.concatenate([np.zeros(0), *[1.0 - (x[s + at[p : p + PAIRS]] * y[to[p : p + PAIRS]]).sum(1) for p in range(0, len(at), PAIRS)]])
+        order = np.lexsort((to, exact, at))
+        at, to, exact = at[order], to[order], exact[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        rows.append(s + at[keep])
+        found.append(to[keep])
+        dist.append(exact[keep])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(dist)
+
+
 def centroids(df: DataFrame, group: str, vector: str, weight: Column | None = None, unit: bool = True, least: int = 1, first: tuple[str, int] | None = None) -> DataFrame:
     """(group, centroid, n): the (weighted) mean of each group's vectors, as a unit vector.
 
@@ -43,7 +80,8 @@ def _best(rows: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(id, place, tid, dist): each row's k nearest targets (place from 1), ties to the least tid.
 
     rows (id, v) meet targets (tid, t) by a broadcast if the targets, counted first, are few. Else both are dealt over a grid of
-    blocks, where each task keeps its rows' k nearest: memory is bounded, and k rows leave a block for each row.
+    blocks, where each task keeps its rows' k nearest: memory is bounded, and k rows leave a block for each row. There, vectors that are
+    null or hold a null or no number take no part.
     """
     targets = checkpointed(targets.select("tid", F.col("t").cast("array<double>").alias("t")))
     n = targets.count()
@@ -54,22 +92,16 @@ def _best(rows: DataFrame, targets: DataFrame, k: int) -> DataFrame:
         wide, high = -(-n // BLOCK), max(1, -(-rows.count() // BLOCK))
         deal = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
         across = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        left = rows.select("id", F.col("v").cast("array<double>").alias("v"), deal("id", high).alias("i"), across(wide).alias("j"))
-        right = targets.select("tid", "t", across(high).alias("i"), deal("tid", wide).alias("j"))
+        full = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
+        left = rows.filter(full("v")).select("id", F.col("v").cast("array<double>").alias("v"), deal("id", high).alias("i"), across(wide).alias("j"))
+        right = targets.filter(full("t")).select("tid", "t", across(high).alias("i"), deal("tid", wide).alias("j"))
 
         def run(a: pa.Table, b: pa.Table) -> pa.Table:
             if not len(a) or not len(b):
                 return pa.table({"id": a.column("id").slice(0, 0), "tid": b.column("tid").slice(0, 0), "dist": pa.array([], pa.float64())})
-            b = b.sort_by("tid")
-            x, y = _unit(a.column("v")), _unit(b.column("t"))
-            at, found, dist = [], [], []
-            for s in range(0, len(x), STRIP):
-                d = 1.0 - x[s : s + STRIP] @ y.T
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                at.append(np.repeat(np.arange(s, s + len(d)), order.shape[1]))
-                found.append(order.ravel())
-                dist.append(np.take_along_axis(d, order, 1).ravel())
-            return pa.table({"id": a.column("id").take(pa.array(np.concatenate(at))), "tid": b.column("tid").take(pa.array(np.concatenate(found))), "dist": np.concatenate(dist)})
+            b = _first_of_equal(b, k)
+            at, found, dist = _block_best(_unit(a.column("v")), _unit(b.column("t")), k)
+            return pa.table({"id": a.column("id").take(pa.array(at)), "tid": b.column("tid").take(pa.array(found)), "dist": dist})
 
         met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, f"id {kind[1]}, tid {kind[0]}, dist double")
     if k == 1:
